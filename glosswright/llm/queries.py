@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, embedding_dedup, exact_dedup, licenses, packing, token_counts, token_files, toxicity
+from . import codec, embedding_dedup, exact_dedup, jaccard_join, licenses, packing, token_counts, token_files, toxicity
 from .common import work_path
 
 
@@ -40,6 +40,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(_read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_toxicity(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")), cut=0.3)
