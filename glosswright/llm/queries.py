@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, embedding_dedup, exact_dedup, jaccard_join, licenses, packing, token_counts, token_files, toxicity
+from . import codec, embedding_dedup, exact_dedup, jaccard_join, licenses, packing, repeat_removal, token_counts, token_files, toxicity
 from .common import work_path
 
 
@@ -30,6 +30,10 @@ def op3_near_duplicate_vectors(spark, sf_dir):
     return embedding_dedup.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op4_repeat_removal(spark, sf_dir):
+    return repeat_removal.removal_digests(_read(spark, sf_dir, "documents"), length=50)
+
+
 def op5_token_files(spark, sf_dir):
     path = work_path(spark, "tokens")
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path, _path("byte_bpe_50k.json"), end_id=0)
