@@ -24,6 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a written table: computed once, and without lineage to lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished jobs
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -219,7 +219,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text")).join(placed, "rep")
     # a set goes to every pair of parts that its own belongs to: (0, 0) alone when there is one part
     other = texts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    cast = other.where("parts = 1 or other <> mine or parts > 1").select("component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "text")
+    cast = other.select("component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "text")
     dealt = cast.repartition(partitions(spark), "component", "p", "q").sortWithinPartitions("component", "p", "q", "rep")
 
     def join(batches):
@@ -251,5 +251,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column
     return whole.unionByName(sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that are the smallest identifier of their component; rows with a null one stay."""
+    found = written(jaccard_components(docs, k, percent, id_column, text_column).where("component_id <> doc_id").select(F.col("doc_id").alias(id_column)).distinct(), "dropped")
+    return docs.join(found, id_column, "left_anti")
+
+
 def _edges(rows):
     return pa.record_batch([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -239,3 +241,17 @@ def score_documents(docs: DataFrame, model: Model, cut: float = 0.3, id_column:
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(id_column).alias("held_out"), text_bytes(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, cut: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose score is below the cut, all columns as they are."""
+    packed = json.dumps(asdict(model))
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Model(**json.loads(packed))
+        g = Grammar(m.weights)
+        for texts in parts:
+            yield pd.Series(score(g.features(texts.tolist()), m))
+
+    return docs.where(scored(text_bytes(text_column)) < cut)
