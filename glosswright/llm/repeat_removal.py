@@ -307,7 +307,7 @@ def marks(blobs: DataFrame, length: int) -> DataFrame:
 def spans_of(starts, stops) -> list[tuple[int, int]]:
     """Maximal runs of the union of intervals."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(starts or (), stops or (), strict=True)):
+    for a, b in sorted(zip(() if starts is None else starts, () if stops is None else stops, strict=True)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -363,7 +363,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id"
     def cut(text, starts, stops):
         out = text.copy()
         for i, (t, a, b) in enumerate(zip(text, starts, stops, strict=True)):
-            spans, at, kept = spans_of(a if a is not None else (), b if b is not None else ()), 0, []
+            spans, at, kept = spans_of(a, b), 0, []
             for x, y in spans:
                 kept.append(t[at:x])
                 at = y
