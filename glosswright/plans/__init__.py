@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from . import governed_queries
+from . import governed_queries, text_queries
 
-AREAS = [governed_queries]
+AREAS = [governed_queries, text_queries]
 
 
 def queries() -> dict:
