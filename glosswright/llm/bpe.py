@@ -8,6 +8,7 @@ failing pair go through exact merging, which is vectorised over words as well.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -246,6 +247,7 @@ def _pair(merge):
 #: The pre-token patterns written in the public vocabulary files.
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 ASCII_WORD_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_BYTE_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
@@ -289,6 +291,7 @@ class TextEncoder:
                 return [piece] if piece.isalpha() else ASCII_WORD_PATTERN.findall(piece)
             if piece.isalpha() or piece[:1] == b" " and piece[1:].isalpha():
                 return [piece]
+            return ASCII_BYTE_PATTERN.findall(piece)
         text = piece.decode("utf-8", "replace")
         if "<|" not in text or not self.marks:
             return self._plain(text)
@@ -332,6 +335,8 @@ class TextEncoder:
         i = 0
         while i < len(texts):
             block, size = [], 0
+            collecting = gc.isenabled()
+            gc.disable()  # many small objects, none in a cycle
             while i < len(texts) and (not block or size < self.BLOCK):
                 block.append(self._cut(texts[i] or b""))
                 size += len(texts[i] or b"")
@@ -348,6 +353,8 @@ class TextEncoder:
                         unknown.append(p)
             if unknown:
                 self._learn(unknown)
+            if collecting:
+                gc.enable()
             get = self.new.__getitem__
             for pieces in block:
                 yield b"".join(map(get, pieces))
