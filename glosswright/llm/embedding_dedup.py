@@ -102,7 +102,7 @@ def _links(a, b, threshold, table, same):
         visits_y = (y[:, :, :1] == x).any(2)  # x is at home in or visits the home of y, by table
         visits_x = (x[:, :, :1] == y).any(2)
         earlier = (visits_x | visits_y)[:, :table].any(1)
-        twice = ~same & visits_y[:, table] & (b["id"][j[lo : lo + 4096]] < a["id"][i[lo : lo + 4096]])
+        twice = visits_y[:, table] & (b["id"][j[lo : lo + 4096]] < a["id"][i[lo : lo + 4096]]) & (not same)
         out[lo : lo + 4096] = ~(earlier | twice)
     return i[out], j[out]
 
