@@ -22,7 +22,7 @@ def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame
     if vocabulary is None:
         return rows
     known = vocabulary.catalog.select("token").union(vocabulary.overlay.select("token")).union(vocabulary.allow.select("token")).where(F.col("token").rlike(r"^\d+\p{L}")).distinct()
-    joinable = [r["token"] for r in known.limit(10_000).collect()]  # tokens that begin with digits
+    joinable = [r["token"] for r in vocabulary.small(known, "digits first").limit(10_000).collect()]  # tokens that begin with digits
     if not joinable:
         return rows
     every = F.array(*map(F.lit, joinable))
@@ -38,8 +38,8 @@ def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame
 
 def expand_tokens(tokens: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
     """tokens with long, is_known, source, entry_id, confidence, kind, class_word, beaten."""
-    answers = vocabulary.small(vocabulary.resolved(policy)).withColumnRenamed("token", "upper")
-    words = vocabulary.small(vocabulary.class_words().select(F.col("token").alias("upper"), F.col("class_word").alias("class")))
+    answers = vocabulary.small(vocabulary.resolved(policy).withColumnRenamed("token", "upper"), f"resolved {policy.mode} {policy.allow_override}")
+    words = vocabulary.small(vocabulary.class_words().select(F.col("token").alias("upper"), F.col("class_word").alias("class")), "class words")
     rows = tokens.withColumn("upper", F.upper("token")).join(answers, "upper", "left").join(words, "upper", "left")
     unknown = F.col("long").isNull()
     passed = title_case(F.col("token"))
@@ -78,10 +78,10 @@ def _judged(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame
     """Tokens with verdict, code and fix; tokens without a letter have no code."""
     rows = expand_tokens(tokens_of(ids, vocabulary), vocabulary, policy).withColumn("upper", F.upper("token"))
     rank = F.expr("case list when 'approved_abbreviations' then 0 when 'common_keywords' then 1 else 2 end")
-    lists = vocabulary.small(vocabulary.allow.groupBy("token").agg(F.min(rank).alias("listed")).withColumnRenamed("token", "upper"))
-    approved = vocabulary.small(vocabulary.approved().select(F.col("token").alias("upper"), F.lit(True).alias("approved")))
+    lists = vocabulary.small(vocabulary.allow.groupBy("token").agg(F.min(rank).alias("listed")).withColumnRenamed("token", "upper"), "lists")
+    approved = vocabulary.small(vocabulary.approved().select(F.col("token").alias("upper"), F.lit(True).alias("approved")), "approved")
     back = vocabulary.reverse().join(vocabulary.approved().withColumnRenamed("token", "short"), "short", "left_semi")
-    back = vocabulary.small(back.select(F.col("key").alias("canonical_key"), "short"))
+    back = vocabulary.small(back.select(F.col("key").alias("canonical_key"), "short"), "approved reverse")
     rows = rows.join(lists, "upper", "left").join(approved, "upper", "left").withColumn("canonical_key", phrase_key(F.col("canonical"))).join(back, "canonical_key", "left")
     code = (
         F.when(~F.col("upper").rlike(r"\p{L}"), F.lit(None).cast("string"))
@@ -100,6 +100,11 @@ def _judged(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame
     return rows.select("id", "identifier", "pos", "token", "upper", code.alias("code"), fix.alias("fix"), "class_word")
 
 
+def _has_default(vocabulary: Vocabulary) -> bool:
+    words = vocabulary.small(vocabulary.class_words().select("token"), "class tokens")
+    return bool(words.where(F.col("token") == DEFAULT_CLASS_WORD).limit(1).count())
+
+
 def compliance_findings(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
     """(id, seq, token, verdict, code, fix): one finding for each token, then those on the whole name."""
     judged = _judged(ids, vocabulary, policy)
@@ -109,7 +114,7 @@ def compliance_findings(ids: DataFrame, vocabulary: Vocabulary, policy: Policy)
     names = ids.join(names, "id", "left").withColumn("n", F.coalesce(F.size("t"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0)))
     upper = F.array_join(F.transform("t", lambda x: x["upper"]), "_")
     fixed = F.array_join(F.transform("t", lambda x: x["word"]), "_")
-    has_default = vocabulary.class_words().where(F.col("token") == DEFAULT_CLASS_WORD).limit(1).count() > 0
+    has_default = _has_default(vocabulary)
     over = F.length("identifier") > policy.max_name_length
     nothing = F.lit(None).cast("string")
 
@@ -151,17 +156,17 @@ def to_physical(names: DataFrame, vocabulary: Vocabulary, policy: Policy) -> Dat
     """
     over = vocabulary.overlay.select(phrase_key(F.col("canonical")).alias("key"), F.col("token").alias("short"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank"))
     index = vocabulary.reverse().withColumn("rank", F.lit(1)).unionByName(over)
-    index = index.groupBy("key").agg(F.min_by(F.struct("short", "confidence"), F.struct("rank", "short")).alias("e")).select("key", "e.short", "e.confidence")
+    index = vocabulary.small(index.groupBy("key").agg(F.min_by(F.struct("short", "confidence"), F.struct("rank", "short")).alias("e")).select("key", "e.short", "e.confidence"), "index")
     widest = index.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     governed = vocabulary.catalog.select("token", "confidence").union(vocabulary.overlay.select("token", F.lit(1.0))).union(vocabulary.approved().select("token", F.lit(1.0))).groupBy("token").agg(F.min("confidence").alias("confidence"))
     words = names.withColumn("w", F.filter(F.split(F.regexp_replace(F.coalesce("logical", F.lit("")), r"[_\s]+", " "), " "), lambda x: x != ""))
     span = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size("w") - i)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("text"))))))
     spans = words.where(F.size("w") > 0).select("id", span.alias("s")).select("id", "s.*")
-    spans = spans.join(vocabulary.small(index), phrase_key(F.col("text")) == F.col("key"), "left")
-    keep = vocabulary.small(governed.select(F.col("token").alias("own"), F.col("confidence").alias("own_confidence")))
+    spans = spans.join(index, phrase_key(F.col("text")) == F.col("key"), "left")
+    keep = vocabulary.small(governed.select(F.col("token").alias("own"), F.col("confidence").alias("own_confidence")), "own")
     exact = F.col("text").rlike(r"\p{L}") & (F.upper("text") == F.col("text"))
     spans = spans.join(keep, (F.col("n") == 1) & exact & (F.col("text") == F.col("own")), "left")
-    approved = vocabulary.small(vocabulary.approved().select(F.col("token").alias("ok")))
+    approved = vocabulary.small(vocabulary.approved().select(F.col("token").alias("ok")), "ok")
     spans = spans.join(approved, (F.col("n") == 1) & (F.upper("text") == F.col("ok")), "left")
     short = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("short").isNotNull(), F.col("short")).when(F.col("n") == 1, F.upper("text"))
     sure = F.when(F.col("own").isNotNull(), F.col("own_confidence")).when(F.col("short").isNotNull(), F.col("confidence")).otherwise(F.when(F.col("ok").isNotNull(), 1.0).otherwise(0.0))
@@ -176,12 +181,12 @@ def to_physical(names: DataFrame, vocabulary: Vocabulary, policy: Policy) -> Dat
 
     done = ordered.withColumn("f", F.aggregate("b", start, take)).select("id", F.array_join("f.out", "_").alias("physical"), F.col("f.sure").alias("confidence"), F.element_at("f.out", -1).alias("last"))
     if policy.append_class_word_when_missing:
-        classes = vocabulary.class_words()
-        if classes.where(F.col("token") == DEFAULT_CLASS_WORD).limit(1).count():
-            done = done.join(vocabulary.small(classes.select(F.col("token").alias("last"), F.col("class_word").alias("cw"))), "last", "left")
+        if _has_default(vocabulary):
+            last = vocabulary.class_words().select(F.col("token").alias("last"), F.col("class_word").alias("cw"))
+            done = done.join(vocabulary.small(last, "last class words"), "last", "left")
             done = done.withColumn("physical", F.when(F.col("cw").isNull(), F.concat("physical", F.lit("_" + DEFAULT_CLASS_WORD))).otherwise(F.col("physical")))
     out = names.join(done.select("id", "physical", "confidence"), "id", "left").withColumn("key", phrase_key(F.col("logical")))
-    out = out.join(vocabulary.small(vocabulary.terms.select("key", "term_id")), "key", "left")
+    out = out.join(vocabulary.small(vocabulary.terms.select("key", "term_id"), "terms"), "key", "left")
     return out.select("id", "logical", F.coalesce("physical", F.lit("")).alias("physical"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "term_id")
 
 

@@ -68,10 +68,21 @@ class Vocabulary:
         self.classes = classes
         self.terms = terms.withColumn("key", phrase_key(F.col("logical_name")))
         self.spark = catalog.sparkSession
-
-    def small(self, df: DataFrame) -> DataFrame:
-        """df marked for broadcast when its counted size allows it."""
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        self._kept: dict[str, DataFrame] = {}
+
+    def small(self, df: DataFrame, key: str = "") -> DataFrame:
+        """df as a broadcast local relation when it has at most BROADCAST_ROWS rows, else as it is.
+
+        The rows are worked out once for each key, so that the verbs of one vocabulary share them and
+        their plans hold lookups only.
+        """
+        if key and key in self._kept:
+            return self._kept[key]
+        rows = df.limit(BROADCAST_ROWS + 1).toArrow()
+        out = F.broadcast(self.spark.createDataFrame(rows, df.schema)) if rows.num_rows <= BROADCAST_ROWS else df
+        if key:
+            self._kept[key] = out
+        return out
 
     def scored(self) -> DataFrame:
         """(token, best): the best-scored candidate of each row with more than one."""
