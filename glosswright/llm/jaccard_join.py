@@ -5,8 +5,10 @@ sets with |a & b| / |a | b| >= t share at least ceil(t * max(|a|, |b|)) members,
 |a| - ceil(t |a|) + l members of a lie among the first ones of b.  So
 
 1. each distinct set posts its first members, and members that only one set posts go;
-2. sets with fewer than l posts left link with nothing; the others fall into candidate components, joined by
-   the posts that they share;
+2. sets with fewer than l posts left link with nothing; the others are read again.  Members that many of
+   them hold move to the end of the global order, which again posts, drops and counts: a set now shows a
+   common passage only if little else is left of it.  What remains falls into candidate components, joined
+   by the posts that they share;
 3. the sets of a component are stored in a prefix tree.  Each is matched against the candidates in the order
    of the tree: what two neighbouring candidates have in common is counted once, and a branch is left when
    its overlap so far and its remaining length cannot reach the bound.  Sets that are in one component of
@@ -29,6 +31,8 @@ from .common import components, partitions, text_bytes, written
 from .shingles import blocks, shingle_hashes, word_hashes
 
 BLOCK = 1500
+#: Members held by so many candidate sets come last in the order; at most FREQUENT of them, the commonest.
+COMMON, FREQUENT = 32, 1 << 20
 
 
 def needed(n: int, percent: int) -> int:
@@ -195,6 +199,56 @@ def shared_posts(posts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "member long, name long")
 
 
+def _hopeful(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The shared posts of sets that share enough of them."""
+    low = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1
+    enough = shared.groupBy("name").agg(F.count("*").alias("c")).join(classes.select("name", "n"), "name").where(F.col("c") >= low)
+    return shared.join(enough.select("name").distinct(), "name")
+
+
+def common_members(texts: DataFrame, k: int) -> np.ndarray:
+    """Members that many sets hold, ascending.  Tasks send what they see more than once: the sums are lower
+    bounds, which only decide an order."""
+
+    def run(batches):
+        parts = []
+        for batch in batches:
+            parts += distinct_sets(batch.column("text").to_pylist(), k)
+            if sum(map(len, parts)) > 8_000_000:
+                yield count(parts)
+                parts = []
+        if parts:
+            yield count(parts)
+
+    def count(parts):
+        member, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.record_batch([pa.array(member[n > 1].view(np.int64)), pa.array(n[n > 1])], ["member", "n"])
+
+    sums = texts.mapInArrow(run, "member long, n long").groupBy("member").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    rows = sums.orderBy(F.desc("n"), "member").limit(FREQUENT).select("member").toPandas()  # bounded by FREQUENT
+    return np.sort(rows["member"].to_numpy(np.int64).view(np.uint64))
+
+
+def reordered_posts(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(member, name) of the first members of each set when the common ones come last."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        late = shared.value
+        for batch in batches:
+            members, names = [], []
+            for name, s in zip(batch.column("name").to_pylist(), distinct_sets(batch.column("text").to_pylist(), k), strict=True):
+                at = np.minimum(np.searchsorted(late, s), max(len(late) - 1, 0))
+                is_late = late[at] == s if len(late) else np.zeros(len(s), bool)
+                first = np.concatenate([s[~is_late], s[is_late]])[: prefix_length(len(s), percent)]
+                members.append(first)
+                names.append(np.full(len(first), name, np.int64))
+            if members:
+                yield pa.record_batch([pa.array(np.concatenate(members).view(np.int64)), pa.array(np.concatenate(names))], ["member", "name"])
+
+    return texts.mapInArrow(run, "member long, name long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: link when 100 |a & b| >= percent |a | b|.
 
@@ -206,19 +260,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column
     sets = written(shingle_sets(docs, k, percent, id_column, text_column), "sets")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("digest", "name", "n").agg(F.min("doc_id").alias("rep")), "classes")
     posts = sets.where("posts is not null").select(F.explode("posts").alias("member"), "name")
-    shared = written(shared_posts(posts), "shared")
-    low = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1
-    hopeful = shared.groupBy("name").agg(F.count("*").alias("c")).join(classes, "name").where(F.col("c") >= low).select("name").distinct()
-    left = written(shared.join(hopeful, "name"), "hopeful")
+    names = _hopeful(written(shared_posts(posts), "shared"), classes, percent).select("name").distinct()
+    reps = classes.join(names, "name")
+    texts = docs.select(F.col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text")).join(reps, "rep")
+    texts = written(texts.select("rep", "name", "digest", "n", "text"), "candidates")
+    again = shared_posts(reordered_posts(texts, k, percent, common_members(texts, k)))
+    left = written(_hopeful(written(again, "shared"), classes, percent), "hopeful")
     first = left.groupBy("member").agg(F.min("name").alias("first"))
     edges = left.join(first, "member").select(F.col("name").alias("a"), F.col("first").alias("b"))
     groups = components(edges).withColumnRenamed("id", "name")
-    members = written(groups.join(classes, "name").select("component", "rep", "digest", "n"), "members")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    texts = docs.select(F.col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text")).join(placed, "rep")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = texts.join(groups, "name").join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     # a set goes to every pair of parts that its own belongs to: (0, 0) alone when there is one part
-    other = texts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    other = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     cast = other.select("component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "text")
     dealt = cast.repartition(partitions(spark), "component", "p", "q").sortWithinPartitions("component", "p", "q", "rep")
 
