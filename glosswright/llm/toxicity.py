@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, trim
 
 SAMPLE, PATTERNS, LEVELS = 16_000, 4_000, 8
 LEAST_DOCS, LEAST_WEIGHT, PREFIXES = 5, 2.0, (4, 5, 6, 7, 8)
@@ -50,7 +50,7 @@ class Model:
 class Grammar:
     """Reads texts as words over the small alphabet and runs the composed automaton."""
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
@@ -194,6 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         for lo in range(0, len(keys), 100_000):
             part = keys[lo : lo + 100_000]
             yield pa.record_batch([pa.array(part), pa.array([counts[k][0] for k in part], pa.int64()), pa.array([counts[k][1] for k in part], pa.int64())], ["pattern", "clean", "toxic"])
+        counts.clear()
+        del keys, seen
+        trim()
 
     counted = texts.mapInArrow(patterns, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # the pattern "" holds the totals; a weight is a smoothed log odds
@@ -238,6 +241,8 @@ def score_documents(docs: DataFrame, model: Model, cut: float = 0.3, id_column:
         for batch in batches:
             s = score(g.features(batch.column("text").to_pylist()), m)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        del g
+        trim()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(id_column).alias("held_out"), text_bytes(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -253,5 +258,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.3, text_column:
         g = Grammar(m.weights)
         for texts in parts:
             yield pd.Series(score(g.features(texts.tolist()), m))
+        del g
+        trim()
 
     return docs.where(scored(text_bytes(text_column)) < cut)
