@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import components, partitions, text_bytes, written
 from .shingles import blocks, shingle_hashes, word_hashes
 
-BLOCK = 1500
+#: Sets that a task joins at a time: about 140 MB of texts and hashes at 550 shingles a set.
+BLOCK = 20_000
 #: Members held by so many candidate sets come last in the order; at most FREQUENT of them, the commonest.
 COMMON, FREQUENT = 32, 1 << 20
 
