@@ -20,16 +20,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes, written
+from .common import partitions, text_bytes, trim, written
 from .shingles import BASE, INVERSE, VALUES, blocks, mix, powers
 
 K = 24
 FILTER_BITS = 28
 #: Bytes of segments that a task holds before it sends them, and that a range ranks at a time.
-HELD, CHUNK = 16 << 20, 3 << 20
+HELD, CHUNK = 8 << 20, 3 << 19
+#: Ranges that a task of the second shuffle solves, one after the other.
+SPLIT = 6
 _U = np.uint64
 
 
@@ -106,17 +110,18 @@ def shared_filter(rows: DataFrame, length: int) -> np.ndarray:
         for batch in batches:
             names = batch.column("doc_id").to_numpy()
             i = 0
-            for block in blocks(batch.column("text").to_pylist()):
+            for block in blocks(batch.column("text").to_pylist(), 1 << 20):
                 w = Windows(block, length)
                 grams.append(w.minimiser)
                 docs.append(names[i + w.doc])
                 i += len(block)
                 held += len(w.minimiser)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield flush(grams, docs)
                     grams, docs, held = [], [], 0
         if held:
             yield flush(grams, docs)
+        trim()
 
     posted = rows.mapInArrow(post, "r int, one binary, many binary").repartition(ranges, "r").sortWithinPartitions("r")
 
@@ -168,16 +173,16 @@ MARKS = ["doc_id", "th", "start", "stop"]
 
 
 def segments(rows: DataFrame, length: int, shared: np.ndarray) -> DataFrame:
-    """Rows (r, blobs) of segments for the ranges, and rows (doc_id, th, start, stop) of marks known at once."""
+    """Rows (r, blobs) of segments for the ranges, and rows (r, marks) of what is known at once."""
     spark = rows.sparkSession
-    ranges = partitions(spark)
+    ranges = SPLIT * partitions(spark)
     bits = spark.sparkContext.broadcast(shared)
     names = ["r", "docs", "hashes", "places", "sizes", "grams", "bytes", *MARKS]
     kinds = [pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 4]
 
     def run(batches):
         held: list[tuple] = []
-        size = 0
+        size, pack = 0, zstandard.ZstdCompressor(level=3)
 
         def flush():
             doc, th, place, n, gram, key, content = (np.concatenate([h[k] for h in held]) for k in range(7))
@@ -188,8 +193,13 @@ def segments(rows: DataFrame, length: int, shared: np.ndarray) -> DataFrame:
             owner = d[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
             known = order[d != owner]
             send = np.sort(order[d == owner])
-            if len(known):
-                yield pa.record_batch([pa.nulls(len(known), t) for t in kinds[:7]] + _mark_rows(doc[known], th[known], place[known], place[known] + n[known]), names)
+            if len(known):  # neighbouring segments overlap: whole stretches become one mark
+                known = known[np.lexsort((place[known], th[known], doc[known]))]
+                kd, kt, start, stop = doc[known], th[known], place[known], place[known] + n[known]
+                new = np.concatenate([[True], (kd[1:] != kd[:-1]) | (kt[1:] != kt[:-1]) | (start[1:] > stop[:-1])])
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)
+                r = pa.array((kd[new] % ranges).astype(np.int32))
+                yield pa.record_batch([r, *(pa.nulls(len(last), t) for t in kinds[1:7]), *_mark_rows(kd[new], kt[new], start[new], stop[last])], names)
             r = ((gram[send] >> _U(24)).astype(np.int64) * ranges) >> 40
             send = send[np.argsort(r, kind="stable")]
             r = np.sort(r)
@@ -198,14 +208,14 @@ def segments(rows: DataFrame, length: int, shared: np.ndarray) -> DataFrame:
             for x, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if b > a:
                     s = send[a:b]
-                    blobs.append((x, doc[s].tobytes(), th[s].tobytes(), place[s].astype("<i4").tobytes(), n[s].astype("<u2").tobytes(), gram[s].tobytes(), _gather(content, begin[s], n[s]).tobytes()))
+                    blobs.append((x, doc[s].tobytes(), th[s].tobytes(), place[s].astype("<i4").tobytes(), n[s].astype("<u2").tobytes(), gram[s].tobytes(), pack.compress(_gather(content, begin[s], n[s]).tobytes())))
             if blobs:
                 yield pa.record_batch([*(pa.array(c, t) for c, t in zip(zip(*blobs, strict=True), kinds, strict=False)), *(pa.nulls(len(blobs), t) for t in kinds[7:])], names)
 
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("th").to_numpy()
             i = 0
-            for block in blocks(batch.column("text").to_pylist()):
+            for block in blocks(batch.column("text").to_pylist(), 1 << 20):
                 w = Windows(block, length)
                 bit = (w.minimiser >> _U(64 - FILTER_BITS)).astype(np.int64)
                 pick = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
@@ -222,6 +232,7 @@ def segments(rows: DataFrame, length: int, shared: np.ndarray) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from flush()
+        trim()
 
     return rows.mapInArrow(run, "r int, docs binary, hashes binary, places binary, sizes binary, grams binary, bytes binary, doc_id long, th long, start long, stop long")
 
@@ -256,13 +267,32 @@ def window_ranks(data: np.ndarray, start: np.ndarray, size: np.ndarray, length:
     return at, rank[at]
 
 
+def hashed_ranks(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int):
+    """As window_ranks, in less memory: windows by a 64-bit hash, each compared with the first of its hash.
+
+    For the segments of one very common minimiser; null when two different windows have one hash.
+    """
+    n = size - length + 1
+    at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[data] * powers(BASE, len(data)), dtype=np.uint64)])
+        value = mix((sums[at + length] - sums[at]) * powers(INVERSE, len(data))[at])
+    del sums
+    _, first, rank = np.unique(value, return_index=True, return_inverse=True)
+    like = at[first][rank]
+    for j in range(length):
+        if (data[at + j] != data[like + j]).any():
+            return None
+    return at, rank
+
+
 def marks(blobs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, start, stop): the bytes of windows that a smaller document of the range has as well."""
-    ranges = partitions(blobs.sparkSession)
+    """(doc_id, th, start, stop): the bytes of windows that a smaller document of the range has as well, and
+    the marks that came along."""
 
     def solve(parts):
-        doc, th, place, n, gram = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        data = np.concatenate([p[5] for p in parts])
+        doc, th, place, n, gram, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         begin = np.cumsum(n) - n
         order = np.argsort(gram, kind="stable")
         total = np.cumsum(n[order])
@@ -276,7 +306,8 @@ def marks(blobs: DataFrame, length: int) -> DataFrame:
             size, ids = n[s], doc[s]
             text = _gather(data, begin[s], size)
             first = np.cumsum(size) - size
-            at, rank = window_ranks(text, first, size, length)
+            large = len(text) > 2 * CHUNK
+            at, rank = (hashed_ranks(text, first, size, length) if large else None) or window_ranks(text, first, size, length)
             seg = np.repeat(np.arange(len(s)), size - length + 1)
             _, smallest = np.unique(rank, return_index=True)
             hit = ids[seg[smallest]][rank] < ids[seg]
@@ -290,18 +321,24 @@ def marks(blobs: DataFrame, length: int) -> DataFrame:
             lo = hi
 
     def run(batches):
-        now, parts = None, []
+        now, parts, unpack = None, [], zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            done = batch.filter(pc.is_valid(batch.column("start")))
+            if len(done):
+                yield done.select(MARKS)
+            blobs_ = batch.filter(pc.is_null(batch.column("start")))
+            for k in range(len(blobs_)):
+                row = blobs_.slice(k, 1).to_pylist()[0]
                 if row["r"] != now:
                     if parts:
                         yield from solve(parts)
                     now, parts = row["r"], []
-                parts.append((np.frombuffer(row["docs"], np.int64), np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["places"], "<i4").astype(np.int64), np.frombuffer(row["sizes"], "<u2").astype(np.int64), np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["bytes"], np.uint8)))
+                parts.append((np.frombuffer(row["docs"], np.int64), np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["places"], "<i4").astype(np.int64), np.frombuffer(row["sizes"], "<u2").astype(np.int64), np.frombuffer(row["grams"], np.uint64), np.frombuffer(unpack.decompress(row["bytes"]), np.uint8)))
         if parts:
             yield from solve(parts)
+        trim()
 
-    return blobs.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(run, "doc_id long, th long, start long, stop long")
+    return blobs.repartition(partitions(blobs.sparkSession), "r").sortWithinPartitions("r").mapInArrow(run, "doc_id long, th long, start long, stop long")
 
 
 def spans_of(starts, stops) -> list[tuple[int, int]]:
@@ -316,7 +353,7 @@ def spans_of(starts, stops) -> list[tuple[int, int]]:
 
 
 def marked_documents(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The columns of docs, `text_utf8`, and `starts` and `stops` of the bytes to remove (null: none).
+    """The columns of docs, `_utf8`, and `_starts` and `_stops` of the bytes to remove (null: none).
 
     A byte goes when a string of `length` bytes that covers it also begins in a document with a smaller
     identifier; strings are those of the input, overlaps count, matches never cross documents.  Null texts
@@ -326,11 +363,10 @@ def marked_documents(docs: DataFrame, length: int = 50, id_column: str = "doc_id
     if length < K + 1 or length > 60_000:
         raise ValueError("length must be in 25..60000")
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_bytes(text_column)).alias("th"), text_bytes(text_column).alias("text")).where(F.length("text") >= length)
-    cut = written(segments(rows, length, shared_filter(rows, length)), "segments")
-    known = cut.where("r is null").select(*MARKS)
-    found = marks(cut.where("r is not null").drop(*MARKS), length)
-    every = known.unionByName(found).groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    keyed = docs.withColumn("text_utf8", text_bytes(text_column)).withColumn("_id", F.col(id_column).cast("long")).withColumn("_th", F.xxhash64("text_utf8"))
+    # written before the texts are shuffled: the segments' shuffle files can go first
+    found = written(marks(segments(rows, length, shared_filter(rows, length)), length), "marks")
+    every = found.groupBy("doc_id", "th").agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))
+    keyed = docs.withColumn("_utf8", text_bytes(text_column)).withColumn("_id", F.col(id_column).cast("long")).withColumn("_th", F.xxhash64("_utf8"))
     return keyed.join(every.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), ["_id", "_th"], "left").drop("_id", "_th")
 
 
@@ -352,7 +388,7 @@ def removal_digests(docs: DataFrame, length: int = 50, id_column: str = "doc_id"
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     marked = marked_documents(docs.select(id_column, text_column), length, id_column, text_column)
-    return marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text_utf8").alias("text"), "starts", "stops").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col("_utf8").alias("text"), F.col("_starts").alias("starts"), F.col("_stops").alias("stops")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -370,4 +406,4 @@ def without_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id"
             out.iloc[i] = b"".join([*kept, t[at:]]).decode("utf-8", "ignore")
         return out
 
-    return marked.withColumn(text_column, F.when(F.col("starts").isNull(), F.col(text_column)).otherwise(cut("text_utf8", "starts", "stops"))).select(*docs.columns)
+    return marked.withColumn(text_column, F.when(F.col("_starts").isNull(), F.col(text_column)).otherwise(cut("_utf8", "_starts", "_stops"))).select(*docs.columns)

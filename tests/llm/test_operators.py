@@ -253,6 +253,15 @@ def test_repeat_removal(which, request):
     assert Counter(tuple(r) for r in repeat_removal.removal_digests(df, 50).collect()) == _repeats(_pairs(df), 50)
 
 
+def test_repeat_removal_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    data = np.frombuffer(b"".join(rng.choice([b"abcdefgh" * 10, b"abcdefgx" * 10, b"ijklmnop" * 10]) for _ in range(40)), np.uint8)
+    start, size = np.arange(40) * 80, np.full(40, 80)
+    a, b = repeat_removal.hashed_ranks(data, start, size, 50), repeat_removal.window_ranks(data, start, size, 50)
+    assert a[0].tolist() == b[0].tolist()
+    assert len(set(zip(a[1].tolist(), b[1].tolist(), strict=True))) == len(set(a[1].tolist())) == len(set(b[1].tolist()))
+
+
 def test_repeat_removal_keeps_columns_and_characters(odd):
     left = repeat_removal.without_repeats(odd, 50)
     assert left.columns == odd.columns and left.count() == odd.count()
