@@ -139,11 +139,11 @@ df AS (SELECT doc_id, array_to_string(w, ' ') AS long, upper(array_to_string(lis
 SURE = "length(long) > length(short) AND list_bool_and(list_transform(string_split(lower(short), ''), lambda c: length(long) - length(replace(long, c, '')) = 1))"
 
 
-def _defined(spark, sf):
+def _defined(spark, sf, *keep):
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    rows = _docs(spark, sf).select("doc_id", words.alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), (F.col("doc_id") % 5).cast("int").alias("a"))
+    rows = _docs(spark, sf).select("doc_id", words.alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), (F.col("doc_id") % 5).cast("int").alias("a"), *keep)
     rows = rows.where(F.size("w") >= F.col("a") + F.col("k")).withColumn("w", F.slice("w", F.col("a") + 1, F.col("k")))
-    rows = rows.select("doc_id", F.array_join("w", " ").alias("long"), F.upper(F.array_join(F.transform("w", lambda x: F.substring(x, 1, 1)), "")).alias("short"))
+    rows = rows.select("doc_id", F.array_join("w", " ").alias("long"), F.upper(F.array_join(F.transform("w", lambda x: F.substring(x, 1, 1)), "")).alias("short"), *(rows[c] for c in rows.columns[4:]))
     return rows.withColumn("text", F.concat(F.lit("Results for "), "long", F.lit(" ("), "short", F.lit(") were noted.")))
 
 
@@ -215,11 +215,10 @@ def expansion_dictionary(spark, sf):
 
 @query()
 def disambiguate(spark, sf):
-    rows = _defined(spark, sf)
+    rows = _defined(spark, sf, F.coalesce("text", F.lit("")).alias("context"))
     entries = dis.dictionary(rows.select(F.lit(0).alias("src"), F.col("doc_id").alias("ord"), "short", "long"))
     few = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, 8)).select("key")
-    contexts = _docs(spark, sf).select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 40), " ").alias("context"))
-    instances = rows.join(contexts, "doc_id").select(F.col("doc_id").alias("instance"), F.col("short").alias("key"), "context")
+    instances = rows.select(F.col("doc_id").alias("instance"), F.col("short").alias("key"), "context")
     stops = [w for lang, w, _ in t.stop_rows() if lang == "en"]
     return dis.disambiguate(instances, entries.join(few, "key", "left_semi"), stops)
 
