@@ -217,10 +217,9 @@ def expansion_dictionary(spark, sf):
 def disambiguate(spark, sf):
     rows = _defined(spark, sf, F.coalesce("text", F.lit("")).alias("context"))
     entries = dis.dictionary(rows.select(F.lit(0).alias("src"), F.col("doc_id").alias("ord"), "short", "long"))
-    few = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, 8)).select("key")
     instances = rows.select(F.col("doc_id").alias("instance"), F.col("short").alias("key"), "context")
     stops = [w for lang, w, _ in t.stop_rows() if lang == "en"]
-    return dis.disambiguate(instances, entries.join(few, "key", "left_semi"), stops)
+    return dis.disambiguate(instances, entries, stops)
 
 
 SIM = "CASE WHEN a = b THEN 1.0 WHEN least(length(a), length(b)) >= greatest(4, ceil(least(length(a), length(b)) * 0.6)) AND left(a, greatest(4, ceil(least(length(a), length(b)) * 0.6))::INT) = left(b, greatest(4, ceil(least(length(a), length(b)) * 0.6))::INT) THEN 0.75 ELSE 0.5 * 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END"
