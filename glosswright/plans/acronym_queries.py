@@ -163,6 +163,18 @@ def first_definition_map(spark, sf):
     return ex.first_definitions(ex.extract_definitions(rows))
 
 
+# All definitions: where a letter repeats, the match from right to left can be shorter than the whole.  No SQL.
+@query()
+def extract_all_definitions(spark, sf):
+    return ex.extract_definitions(_defined(spark, sf).select("doc_id", "text")).select("doc_id", "short", "long")
+
+
+@query()
+def first_definition_map_all(spark, sf):
+    rows = _defined(spark, sf).select("doc_id", F.concat("text", F.lit(" "), "text").alias("text"))
+    return ex.first_definitions(ex.extract_definitions(rows))
+
+
 @query(f"WITH {DEF} SELECT doc_id, length(short) BETWEEN 2 AND 10 AND regexp_matches(short, '^[A-Z0-9]') AND regexp_matches(short, '[A-Z]') AS valid FROM df")
 def valid_short_form(spark, sf):
     return _defined(spark, sf).select("doc_id", ex.is_valid_short_form(F.col("short")).alias("valid"))
