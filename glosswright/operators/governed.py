@@ -13,6 +13,8 @@ from ..functions.identifiers import is_upper_snake, phrase_key, split_identifier
 from .vocabulary import Policy, Vocabulary
 
 DEFAULT_CLASS_WORD = "VAL"
+#: Tokens that begin with digits beyond which they are joined and not sent with the plan.
+JOINABLE = 10_000
 
 
 def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -22,10 +24,17 @@ def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame
     if vocabulary is None:
         return rows
     known = vocabulary.catalog.select("token").union(vocabulary.overlay.select("token")).union(vocabulary.allow.select("token")).where(F.col("token").rlike(r"^\d+\p{L}")).distinct()
-    joinable = [r["token"] for r in vocabulary.small(known, "digits first").limit(10_000).collect()]  # tokens that begin with digits
+    known = vocabulary.small(known, "digits first")
+    joinable = [r["token"] for r in known.limit(JOINABLE + 1).collect()]  # tokens that begin with digits
     if not joinable:
         return rows
     every = F.array(*map(F.lit, joinable))
+    if len(joinable) > JOINABLE:  # each identifier brings those of its own adjacent pairs that are known
+        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.element_at(parts, i).alias("a"), F.element_at(parts, i + 1).alias("b")))
+        pairs = ids.where(F.size(parts) > 1).select("identifier", F.explode(pairs).alias("p")).where(F.col("p.a").rlike(r"^\d+$"))
+        pairs = pairs.select("identifier", F.upper(F.concat("p.a", "p.b")).alias("token")).join(known, "token", "left_semi")
+        ids = ids.select("id", "identifier").join(pairs.groupBy("identifier").agg(F.collect_set("token").alias("every")), "identifier", "left")
+        every = F.coalesce("every", F.array().cast("array<string>"))
 
     def step(state: Column, t: Column) -> Column:
         last = F.try_element_at(state, F.lit(-1))
