@@ -37,7 +37,7 @@ PRESETS = {
 NODES, BEAM = 50_000, 250
 
 
-def states(tokens: Column, cap: int, longest: int, beam: int | None = None) -> Column:
+def states(tokens: Column, cap: int, longest: int, beam: int | None = None, weights: Weights | None = None) -> Column:
     """array<struct(chars, takes)>: each token is skipped or lends its first 1..cap letters."""
     empty = F.array(F.struct(F.lit("").alias("chars"), F.array().cast("array<int>").alias("takes")))
 
@@ -49,14 +49,58 @@ def states(tokens: Column, cap: int, longest: int, beam: int | None = None) -> C
             return F.filter(F.concat(skip, add), lambda x: F.length(x["chars"]) <= longest)
 
         out = F.flatten(F.transform(sofar, each))
-        if beam:  # the states that cover most tokens, then the shortest
-            order = F.transform(out, lambda x: F.struct((-F.size(F.filter(x["takes"], lambda k: k > 0))).alias("a"), F.length(x["chars"]).alias("b"), x["chars"].alias("chars"), x["takes"].alias("takes")))
-            out = F.transform(F.slice(F.array_sort(order), 1, beam), lambda x: F.struct(x["chars"].alias("chars"), x["takes"].alias("takes")))
-        return out
+        return best_states(out, tokens, longest, beam, weights) if beam else out
 
     return F.aggregate(tokens, empty, grow)
 
 
+def completions(longest: int, weights: Weights) -> Column:
+    """By tokens left (at most longest) and characters so far: the most that the rest can add to a score."""
+    table = []
+    for left in range(longest + 1):
+        row = []
+        for length in range(longest + 1):
+            gains = [0.0]
+            for added in range(1, longest - length + 1) if left else ():
+                over = max(0, length + added - weights.preferred_length) - max(0, length - weights.preferred_length)
+                initials = min(added, left)
+                gain = max(INITIAL + (added - 1) * CONTIGUOUS, initials * INITIAL + (added - initials) * CONTIGUOUS)
+                gains.append(weights.alpha * gain - weights.length_penalty * over)
+            row.append(max(gains))
+        table.append(F.array(*(F.lit(float(x)) for x in row)))
+    return F.array(*table)
+
+
+def best_states(found: Column, tokens: Column, longest: int, beam: int, weights: Weights) -> Column:
+    """The best alignment of each chars value, then the `beam` states with the highest bound on their score.
+
+    The bound charges what is settled exactly and adds the most that the tokens left can give, so no state is cut
+    for one that cannot beat it.
+    """
+    table = completions(longest, weights)
+
+    def measured(x: Column) -> Column:
+        taken = F.size(F.filter(x["takes"], lambda k: k > 0))
+        loss = F.size(F.filter(x["takes"], lambda k, i: (k == 0) & F.get(tokens, i)["critical"]))
+        positional = taken * INITIAL + (F.length(x["chars"]) - taken) * CONTIGUOUS
+        return F.struct(x["chars"].alias("chars"), (weights.delta * loss - weights.alpha * positional).alias("v"), (-taken).alias("t"), loss.alias("l"), F.transform(x["takes"], lambda k: -k).alias("k"))
+
+    def first(a: Column) -> Column:
+        return F.filter(a, lambda x, i: (i == 0) | (x["chars"] != F.coalesce(F.get(a, i - 1)["chars"], F.lit(""))))
+
+    def bounded(x: Column) -> Column:
+        length = F.length(x["chars"])
+        left = F.least(F.size(tokens) - F.size(x["k"]), F.lit(longest))
+        bound = F.get(F.get(table, left), length) - x["v"] - weights.length_penalty * F.greatest(length - weights.preferred_length, F.lit(0))
+        takes = F.transform(x["k"], lambda k: -k)
+        return F.struct((-bound).alias("a"), length.alias("b"), x["chars"].alias("chars"), takes.alias("takes"))
+
+    ordered = F.array_sort(F.transform(found, measured))
+    distinct = F.flatten(F.transform(F.array(ordered), first))  # a lambda's variable is worked out once
+    kept = F.slice(F.array_sort(F.transform(distinct, bounded)), 1, beam)
+    return F.transform(kept, lambda x: F.struct(x["chars"].alias("chars"), x["takes"].alias("takes")))
+
+
 def candidates(phrases: DataFrame, weights: Weights, cap: int = 2, shortest: int = 2, longest: int = 10) -> DataFrame:
     """(id, acronym, positional, loss, taken): the best alignment of each acronym of each (id, tokens).
 
@@ -64,7 +108,7 @@ def candidates(phrases: DataFrame, weights: Weights, cap: int = 2, shortest: int
     """
     size = F.aggregate("tokens", F.lit(1.0), lambda a, t: a * (F.least(F.lit(cap), F.length(t["letters"])) + 1))
     full = phrases.where(size <= NODES).withColumn("s", F.explode(states(F.col("tokens"), cap, longest)))
-    beam = phrases.where(size > NODES).withColumn("s", F.explode(states(F.col("tokens"), cap, longest, BEAM)))
+    beam = phrases.where(size > NODES).withColumn("s", F.explode(states(F.col("tokens"), cap, longest, BEAM, weights)))
     rows = full.unionByName(beam).select("id", "tokens", F.col("s.chars").alias("acronym"), F.col("s.takes").alias("takes")).where(F.length("acronym") >= shortest)
     taken = F.size(F.filter("takes", lambda k: k > 0))
     loss = F.size(F.filter(F.zip_with("tokens", "takes", lambda t, k: t["critical"] & (k == 0)), lambda x: x))
