@@ -1,10 +1,11 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by weighted words in clauses, read by one loop.
 
 Each piece of a text between white space is read once as a short word over a small alphabet: levels of
 insult (a..h, the learned weight), threat verbs, targets, negations, reporting words, other words, and the
-ends of clauses and sentences.  Transducers over that alphabet - insult, threat, target, negation, reported
-speech - are composed into one automaton whose state is what the clause has seen so far; it emits the mass
-of asserted, aimed, negated and reported matches.  A logistic model over these masses gives the score.
+ends of clauses and sentences.  One hand-written loop over that alphabet keeps what the clause has seen so
+far (distance to a negation, a target, reporting, quotation) and adds the weights of single words to the
+mass of asserted, aimed, negated and reported matches.  No transducers are built or composed, and an insult
+made of ordinary words only has no pattern.  A logistic model over these masses gives the score.
 
 Learned from labelled rows only: the weights of insult patterns (words, and beginnings of words for forms
 not seen) and the few coefficients.  The sample is bounded by SAMPLE rows, the ones with the smallest hash
@@ -48,7 +49,7 @@ class Model:
 
 
 class Grammar:
-    """Reads texts as words over the small alphabet and runs the composed automaton."""
+    """Reads texts as words over the small alphabet and runs the loop over it."""
 
     KEPT = 100_000
 
