@@ -36,6 +36,13 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send Python workers `rows` rows at a time, where the session still has Spark's 10,000: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 

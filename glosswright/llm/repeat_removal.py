@@ -1,17 +1,21 @@
-"""Removal of long repeated byte strings between documents, by suffix ranks.
+"""Removal of long repeated byte strings between documents, by run-length indexes over ranges of minimisers.
 
-Every window of LENGTH bytes has a minimiser: of its K-byte strings the one with the smallest hash.  Equal
+Every window of `length` bytes has a minimiser: of its K-byte strings the one with the smallest hash.  Equal
 windows have equal minimisers, so windows meet where their minimisers do:
 
 1. tasks post the minimisers of their documents, as sorted, delta-coded runs over ranges of hashes; what
-   two documents post sets a bit in a filter of fixed size;
-2. around minimisers whose bit is set, each document cuts segments - the runs of windows with one minimiser
-   - and sends them to the minimiser's range.  Equal segments of a task go once, for the smallest document;
-   the others are known to be repeats.  A full filter lets more segments pass and changes no result;
-3. a range sorts the suffixes of its segments to the depth of a window by prefix doubling (8, 16, 32 bytes,
-   then two overlapping 32s), in the order of documents, so that the first of equal windows is the smallest
-   document's; windows of larger documents are marked;
+   two documents post sets a bit in a filter of fixed size, and what about HOT segments have one in another;
+2. around minimisers whose first bit is set, each document cuts segments - the runs of windows with one
+   minimiser - and sends them to the minimiser's range.  Segments of a hot minimiser are cut into single
+   windows, each of which goes to the range of its own hash, so that no minimiser fills a task.  Equal segments
+   of a task go once, for the smallest document; the others are known to be repeats.  Full filters let more
+   segments pass, or cut more of them, and change no result;
+3. a range drops equal segments once more, builds a run-length index (run_index.py) over the different ones of
+   its minimisers, some at a time and in ascending order of documents, and streams their matching statistics.  A
+   window whose match of `length` bytes is witnessed in a smaller document is marked;
 4. marks meet their texts again, and the bytes that they cover go.
+
+Segments count as equal only after a comparison of their bytes; hashes decide where they meet, no more.
 """
 
 from __future__ import annotations
@@ -22,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes, trim, written
+from .common import partitions, small_batches, text_bytes, trim, written
+from .run_index import RunIndex
 from .shingles import BASE, INVERSE, VALUES, blocks, mix, powers
 
 K = 24
-FILTER_BITS = 28
-#: Bytes of segments that a task holds before it sends them, and that a range ranks at a time.
-HELD, CHUNK = 8 << 20, 3 << 19
+FILTER_BITS, HOT_BITS = 28, 24
+#: Segments from which a minimiser is hot; a flush tells how many it has from HEAVY on, otherwise it counts as one.
+HOT, HEAVY = 2_048, 8
+#: Bytes of segments that a task holds before it sends them, and that a range indexes at a time.
+HELD, CHUNK = 6 << 20, 1 << 20
 #: Ranges that a task of the second shuffle solves, one after the other.
 SPLIT = 6
 _U = np.uint64
@@ -51,7 +58,7 @@ class Windows:
             self.minimiser = np.zeros(0, np.uint64)
             return
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[self.data] * powers(BASE, n), dtype=np.uint64)])
+            self.sums = running_hash(self.data)
             grams = mix((self.sums[K:] - self.sums[:-K]) * powers(INVERSE, n)[: n - K + 1])
         low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)  # the leftmost of equals
         span = 1
@@ -72,7 +79,73 @@ class Windows:
         ok = usable[cut]
         # two documents whose windows touch cannot share a run: windows that cross the border are unusable
         self.start, self.stop, self.doc = cut[ok], after[ok] + length - 1, doc[ok]
-        self.minimiser = grams[at[cut[ok]]]
+        self.minimiser = mix(grams[at[cut[ok]]])  # the smallest of many hashes is small: spread it again
+
+
+def running_hash(data: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[data] * powers(BASE, len(data)), dtype=np.uint64)])
+
+
+def range_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:stop] from the running hash of data."""
+    with np.errstate(over="ignore"):
+        return mix((sums[stop] - sums[start]) * powers(INVERSE, len(sums))[start] + (stop - start).astype(np.uint64))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of the ranges [start, start + size), one after the other."""
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
+def slices(size: np.ndarray, most: int):
+    """(lo, hi) of consecutive items of about `most` in all."""
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def segment_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of segments that lie one after the other."""
+    out = [np.zeros(0, np.uint64)]
+    for lo, hi in slices(size, 1 << 19):
+        first, last = begin[lo], begin[hi - 1] + size[hi - 1]
+        sums = running_hash(data[first:last])
+        out.append(range_hash(sums, begin[lo:hi] - first, begin[lo:hi] + size[lo:hi] - first))
+    return np.concatenate(out)
+
+
+def equal_segments(data, begin, size, key, doc, place) -> tuple[np.ndarray, np.ndarray]:
+    """(order, owner): equal segments side by side, and the first of each one's group, which has the smallest
+    document.  Segments of one hash are compared byte by byte with their neighbours."""
+    order = np.lexsort((place, doc, key))
+    if not len(order):
+        return order, order
+    like = (key[order[1:]] == key[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
+    at = np.flatnonzero(like)
+    for lo, hi in slices(size[order[at]], 1 << 19):
+        a, b = order[at[lo:hi]], order[at[lo:hi] + 1]
+        same = data[spread(begin[a], size[a])] == data[spread(begin[b], size[b])]
+        like[at[lo:hi]] = np.logical_and.reduceat(same, np.cumsum(size[a]) - size[a])
+    head = np.append(True, ~like)
+    return order, order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+
+
+def stretches(doc, th, start, stop):
+    """Marks of one text that touch or overlap become one."""
+    order = np.lexsort((start, th, doc))
+    doc, th, start, stop = doc[order], th[order], start[order], stop[order]
+    if len(doc):
+        text = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+        far = int(stop.max()) + 1
+        reach = np.maximum.accumulate(stop + text * far)
+        new = np.append(True, (start + text * far)[1:] > reach[:-1])
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)
+        doc, th, start, stop = doc[new], th[new], start[new], (reach - text * far)[last]
+    return doc, th, start, stop
 
 
 def _pack(sorted_values: np.ndarray) -> bytes:
@@ -90,21 +163,36 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(step)[step != 0xFFFFFF]
 
 
-def shared_filter(rows: DataFrame, length: int) -> np.ndarray:
-    """A bitmap over the leading bits of the minimisers that at least two documents have."""
-    spark = rows.sparkSession
-    ranges = partitions(spark)
+def _set_bits(n: int, bits: np.ndarray) -> np.ndarray:
+    out = np.zeros(n >> 3, np.uint8)
+    np.bitwise_or.at(out, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    return out
+
+
+def _has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_filters(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps over the leading bits of minimisers: those of two documents or more, and the hot ones."""
+    ranges = partitions(rows.sparkSession)
 
     def post(batches):
         def flush(grams, docs):
-            values, n = np.unique(_distinct(np.concatenate(grams) >> _U(24), np.concatenate(docs)), return_counts=True)
+            gram, doc = np.concatenate(grams) >> _U(24), np.concatenate(docs)
+            order = np.argsort(gram)
+            gram, doc = gram[order].astype(np.int64), doc[order]
+            at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            values, n = gram[at], np.diff(np.append(at, len(gram)))
+            many = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+            heavy = n >= HEAVY
             bounds = np.searchsorted(values, -(-(np.arange(ranges + 1, dtype=np.int64) << 40) // ranges))
-            many = n > 1
             rows = []
             for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if b > a:
-                    rows.append((r, _pack(values[a:b]), _pack(values[a:b][many[a:b]])))
-            return pa.record_batch([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["r", "one", "many"])
+                    v, h = values[a:b], heavy[a:b]
+                    rows.append((r, _pack(v), _pack(v[many[a:b]]), _pack(v[h]), n[a:b][h].astype("<u4").tobytes()))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["r", "one", "many", "heavy", "counts"])
 
         grams, docs, held = [], [], 0
         for batch in batches:
@@ -116,235 +204,211 @@ def shared_filter(rows: DataFrame, length: int) -> np.ndarray:
                 docs.append(names[i + w.doc])
                 i += len(block)
                 held += len(w.minimiser)
-                if held > 1_500_000:
+                if held > 1_000_000:
                     yield flush(grams, docs)
                     grams, docs, held = [], [], 0
         if held:
             yield flush(grams, docs)
         trim()
 
-    posted = rows.mapInArrow(post, "r int, one binary, many binary").repartition(ranges, "r").sortWithinPartitions("r")
+    posted = rows.mapInArrow(post, "r int, one binary, many binary, heavy binary, counts binary").repartition(ranges, "r").sortWithinPartitions("r")
 
     def meet(batches):
-        now, once = None, []
+        now, once, heavy, counts = None, [], [], []
 
         def flush():
             values, n = np.unique(np.concatenate(once), return_counts=True)
             bits = np.unique(values[n > 1] >> (40 - FILTER_BITS))
             low = int(bits[0]) // 8 if len(bits) else 0
-            part = np.zeros((int(bits[-1]) // 8 - low + 1) if len(bits) else 0, np.uint8)
-            np.bitwise_or.at(part, bits // 8 - low, (1 << (bits % 8)).astype(np.uint8))
-            return pa.record_batch([pa.array([low], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["low", "bits"])
+            part = _set_bits((int(bits[-1]) // 8 - low + 1) * 8, bits - 8 * low) if len(bits) else np.zeros(0, np.uint8)
+            # a minimiser's segments, at least: those of heavy posts and one for each post (many posts count twice)
+            v, w = np.concatenate([values, *heavy]), np.concatenate([n, *counts])
+            order = np.argsort(v, kind="stable")
+            v, w = v[order], w[order]
+            at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            hot = np.unique(v[at][np.add.reduceat(w, at) >= HOT] >> (40 - HOT_BITS))
+            return pa.record_batch([pa.array([low], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([hot.astype("<i4").tobytes()], pa.binary())], ["low", "bits", "hot"])
 
         for batch in batches:
-            for r, one, many in zip(*(batch.column(c).to_pylist() for c in ("r", "one", "many")), strict=True):
+            for r, one, many, some, n in zip(*(batch.column(c).to_pylist() for c in ("r", "one", "many", "heavy", "counts")), strict=True):
                 if r != now:
                     if once:
                         yield flush()
-                    now, once = r, []
+                    now, once, heavy, counts = r, [], [], []
                 once += [_unpack(one), _unpack(many)]
+                heavy.append(_unpack(some))
+                counts.append(np.frombuffer(n, "<u4").astype(np.int64))
         if once:
             yield flush()
+        trim()
 
-    whole = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in posted.mapInArrow(meet, "low long, bits binary").toLocalIterator():  # 32 MB in all, whatever the input
+    shared, hot = np.zeros(1 << FILTER_BITS - 3, np.uint8), np.zeros(1 << HOT_BITS - 3, np.uint8)
+    for row in posted.mapInArrow(meet, "low long, bits binary, hot binary").collect():  # 34 MB in all, whatever the input
         part = np.frombuffer(row["bits"], np.uint8)
-        whole[row["low"] : row["low"] + len(part)] |= part
-    return whole
-
+        shared[row["low"] : row["low"] + len(part)] |= part
+        hot |= _set_bits(1 << HOT_BITS, np.frombuffer(row["hot"], "<i4"))
+    return shared, hot
 
-def _distinct(grams: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Sorted grams, each as often as it has different documents."""
-    order = np.lexsort((docs, grams))
-    g, d = grams[order].astype(np.int64), docs[order]
-    return g[np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])] if len(g) else g
-
-
-def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    end = np.cumsum(size)
-    return data[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - size), size)]
 
+MARKS = ["doc_id", "th", "start", "stop"]
+#: What a blob holds of each segment, before the bytes: document (as steps), hash of its text, place, size, group.
+PLANES = ["<i8", "<i8", "<i4", "<u4", "<u4"]
 
-def _mark_rows(docs, hashes, start, stop):
-    return [pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
 
+def _mark_batch(r, marks, names):
+    blobs = [pa.nulls(len(marks[0]), t) for t in (pa.int32(), pa.binary())]
+    return pa.record_batch([pa.array(r, pa.int32()), *blobs, *(pa.array(x, pa.int64()) for x in marks)], names)
 
-MARKS = ["doc_id", "th", "start", "stop"]
 
-
-def segments(rows: DataFrame, length: int, shared: np.ndarray) -> DataFrame:
-    """Rows (r, blobs) of segments for the ranges, and rows (r, marks) of what is known at once."""
+def segments(rows: DataFrame, length: int, shared: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """Rows (r, n, blob) of segments for the ranges, and rows (r, marks) of what is known at once."""
     spark = rows.sparkSession
     ranges = SPLIT * partitions(spark)
-    bits = spark.sparkContext.broadcast(shared)
-    names = ["r", "docs", "hashes", "places", "sizes", "grams", "bytes", *MARKS]
-    kinds = [pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 4]
+    filters = spark.sparkContext.broadcast((shared, hot))  # 34 MB, whatever the input
+    names = ["r", "n", "blob", *MARKS]
 
     def run(batches):
         held: list[tuple] = []
-        size, pack = 0, zstandard.ZstdCompressor(level=3)
+        size, pack = 0, zstandard.ZstdCompressor(level=1)
+        shared, hot = filters.value
 
         def flush():
-            doc, th, place, n, gram, key, content = (np.concatenate([h[k] for h in held]) for k in range(7))
+            doc, th, place, n, route, key, content = (np.concatenate([h[k] for h in held]) for k in range(7))
+            held.clear()
             begin = np.cumsum(n) - n
-            order = np.lexsort((place, doc, key))
-            k, d = key[order], doc[order]
-            head = np.concatenate([[True], k[1:] != k[:-1]])
-            owner = d[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-            known = order[d != owner]
-            send = np.sort(order[d == owner])
+            order, owner = equal_segments(content, begin, n, key, doc, place)
+            known = order[doc[order] != doc[owner]]
+            send = np.sort(order[doc[order] == doc[owner]])
             if len(known):  # neighbouring segments overlap: whole stretches become one mark
-                known = known[np.lexsort((place[known], th[known], doc[known]))]
-                kd, kt, start, stop = doc[known], th[known], place[known], place[known] + n[known]
-                new = np.concatenate([[True], (kd[1:] != kd[:-1]) | (kt[1:] != kt[:-1]) | (start[1:] > stop[:-1])])
-                last = np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)
-                r = pa.array((kd[new] % ranges).astype(np.int32))
-                yield pa.record_batch([r, *(pa.nulls(len(last), t) for t in kinds[1:7]), *_mark_rows(kd[new], kt[new], start[new], stop[last])], names)
-            r = ((gram[send] >> _U(24)).astype(np.int64) * ranges) >> 40
+                marks = stretches(doc[known], th[known], place[known], place[known] + n[known])
+                yield _mark_batch((marks[0] % ranges).astype(np.int32), marks, names)
+            r = ((route[send] >> _U(24)).astype(np.int64) * ranges) >> 40
             send = send[np.argsort(r, kind="stable")]
-            r = np.sort(r)
-            bounds = np.searchsorted(r, np.arange(ranges + 1))
+            bounds = np.searchsorted(np.sort(r), np.arange(ranges + 1))
             blobs = []
             for x, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if b > a:
                     s = send[a:b]
-                    blobs.append((x, doc[s].tobytes(), th[s].tobytes(), place[s].astype("<i4").tobytes(), n[s].astype("<u2").tobytes(), gram[s].tobytes(), pack.compress(_gather(content, begin[s], n[s]).tobytes())))
+                    planes = [np.diff(doc[s], prepend=np.int64(0)), th[s], place[s], n[s], route[s] >> _U(32)]
+                    raw = [p.astype(t).tobytes() for p, t in zip(planes, PLANES, strict=True)]
+                    blobs.append((x, b - a, pack.compress(b"".join([*raw, content[spread(begin[s], n[s])].tobytes()]))))
             if blobs:
-                yield pa.record_batch([*(pa.array(c, t) for c, t in zip(zip(*blobs, strict=True), kinds, strict=False)), *(pa.nulls(len(blobs), t) for t in kinds[7:])], names)
+                kinds = [pa.int32(), pa.int32(), pa.binary()]
+                yield pa.record_batch([*(pa.array(c, t) for c, t in zip(zip(*blobs, strict=True), kinds, strict=True)), *(pa.nulls(len(blobs), pa.int64()) for _ in MARKS)], names)
 
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("th").to_numpy()
             i = 0
             for block in blocks(batch.column("text").to_pylist(), 1 << 20):
                 w = Windows(block, length)
-                bit = (w.minimiser >> _U(64 - FILTER_BITS)).astype(np.int64)
-                pick = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                start, n = w.start[pick], w.stop[pick] - w.start[pick]
-                if len(pick):
-                    with np.errstate(over="ignore"):
-                        key = mix((w.sums[w.stop[pick]] - w.sums[start]) * powers(INVERSE, len(w.data))[start] + n.astype(np.uint64))
-                    doc = w.doc[pick]
-                    held.append((ids[i + doc], hashes[i + doc], start - w.begin[doc], n, w.minimiser[pick], key, _gather(w.data, start, n)))
-                    size += int(n.sum())
+                pick = np.flatnonzero(_has_bit(shared, (w.minimiser >> _U(64 - FILTER_BITS)).astype(np.int64)))
+                is_hot = _has_bit(hot, (w.minimiser[pick] >> _U(64 - HOT_BITS)).astype(np.int64))
+                for s, single in ((pick[~is_hot], False), (pick[is_hot], True)):
+                    if not len(s):
+                        continue
+                    start, stop, doc = w.start[s], w.stop[s], w.doc[s]
+                    if single:
+                        n = stop - start - length + 1
+                        start, doc = spread(start, n), np.repeat(doc, n)
+                        stop = start + length
+                    key = range_hash(w.sums, start, stop)
+                    for lo, hi in slices(stop - start, HELD):
+                        a, b, d = start[lo:hi], stop[lo:hi], doc[lo:hi]
+                        route = key[lo:hi] if single else w.minimiser[s[lo:hi]]
+                        held.append((ids[i + d], hashes[i + d], a - w.begin[d], b - a, route, key[lo:hi], w.data[spread(a, b - a)]))
+                        size += int((b - a).sum())
+                        if size > HELD:
+                            yield from flush()
+                            size = 0
                 i += len(block)
-                if size > HELD:
-                    yield from flush()
-                    held, size = [], 0
         if held:
             yield from flush()
         trim()
 
-    return rows.mapInArrow(run, "r int, docs binary, hashes binary, places binary, sizes binary, grams binary, bytes binary, doc_id long, th long, start long, stop long")
-
-
-def _dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1]
-
-
-def window_ranks(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int):
-    """(positions, ranks) of the windows of all segments: equal ranks are equal bytes.
-
-    Ranks of all suffixes to a depth of 8 bytes are doubled while twice the depth is within the window; the
-    last step takes two overlapping halves.
-    """
-
-    def inside(depth):
-        n = size - depth + 1
-        return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
-
-    depth, at = 8, inside(8)
-    value = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        value = value << _U(8) | data[at + j]
-    rank = np.zeros(len(data), np.int64)
-    rank[at] = _dense(value)
-    while depth < length:
-        gap = min(depth, length - depth)
-        at = inside(depth + gap)
-        value = rank[at] << 32 | rank[at + gap]
-        rank[at] = _dense(value)
-        depth += gap
-    return at, rank[at]
-
-
-def hashed_ranks(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int):
-    """As window_ranks, in less memory: windows by a 64-bit hash, each compared with the first of its hash.
-
-    For the segments of one very common minimiser; null when two different windows have one hash.
-    """
-    n = size - length + 1
-    at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[data] * powers(BASE, len(data)), dtype=np.uint64)])
-        value = mix((sums[at + length] - sums[at]) * powers(INVERSE, len(data))[at])
-    del sums
-    _, first, rank = np.unique(value, return_index=True, return_inverse=True)
-    like = at[first][rank]
-    for j in range(length):
-        if (data[at + j] != data[like + j]).any():
-            return None
-    return at, rank
+    return rows.mapInArrow(run, "r int, n int, blob binary, doc_id long, th long, start long, stop long")
+
+
+def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int):
+    """(segment, first byte, end) of the stretches of windows that a segment of a smaller document has as well."""
+    by = np.argsort(doc, kind="stable")
+    size, doc = size[by], doc[by]
+    index = RunIndex(data[spread(begin[by], size)], size, length - 1)
+    piece = np.repeat(np.arange(len(size)), size + 1)
+    place = np.arange(index.n)
+    hit = (doc[piece[index.witnesses()]] < doc[piece]) & (place + length <= index.end[piece])
+    on = np.flatnonzero(hit)
+    if not len(on):
+        return on, on, on
+    new = np.append(True, on[1:] != on[:-1] + 1)
+    first = on[new]
+    last = on[np.append(np.flatnonzero(new)[1:] - 1, len(on) - 1)]
+    p = piece[first]
+    zero = index.end[p] - size[p]
+    return by[p], first - zero, last - zero + length
+
+
+def solve(parts: list[tuple], length: int) -> list[np.ndarray]:
+    """The marks (document, hash of its text, first byte, end) of the segments of a range."""
+    doc, th, place, size, group, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    begin = np.cumsum(size) - size
+    order, owner = equal_segments(data, begin, size, segment_hashes(data, begin, size), doc, place)
+    later = doc[order] != doc[owner]
+    known = order[later]
+    out = [(doc[known], th[known], place[known], place[known] + size[known])]
+    twin, of = order[~later & (order != owner)], owner[~later & (order != owner)]
+    heads = np.sort(order[order == owner])
+    heads = heads[np.argsort(group[heads], kind="stable")]
+    new = np.append(True, group[heads[1:]] != group[heads[:-1]])
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(heads)))
+    heads = heads[np.repeat(n > 1, n)]  # a segment that is alone with its minimiser repeats nothing
+    weight = np.add.reduceat(size[heads], np.cumsum(n[n > 1]) - n[n > 1]) if len(heads) else np.zeros(0, np.int64)
+    bounds = np.append(0, np.cumsum(n[n > 1]))
+    for lo, hi in slices(weight, CHUNK):  # whole minimisers at a time
+        s = heads[bounds[lo] : bounds[hi]]
+        at, a, b = repeated_windows(data, begin[s], size[s], doc[s], length)
+        h = s[at]
+        out.append((doc[h], th[h], place[h] + a, place[h] + b))
+        by = np.argsort(h, kind="stable")  # and the same for equal segments of the same document
+        x, y = np.searchsorted(h[by], of), np.searchsorted(h[by], of, side="right")
+        t, like = np.repeat(twin, y - x), by[spread(x, y - x)]
+        out.append((doc[t], th[t], place[t] + a[like], place[t] + b[like]))
+    return stretches(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def marks(blobs: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, start, stop): the bytes of windows that a smaller document of the range has as well, and
     the marks that came along."""
 
-    def solve(parts):
-        doc, th, place, n, gram, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        begin = np.cumsum(n) - n
-        order = np.argsort(gram, kind="stable")
-        total = np.cumsum(n[order])
-        lo = 0
-        while lo < len(order):  # whole minimisers at a time
-            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, side="right"))
-            hi = max(hi, lo + 1)
-            hi = int(np.searchsorted(gram[order], gram[order[hi - 1]], side="right"))
-            s = order[lo:hi]
-            s = s[np.argsort(doc[s], kind="stable")]
-            size, ids = n[s], doc[s]
-            text = _gather(data, begin[s], size)
-            first = np.cumsum(size) - size
-            large = len(text) > 2 * CHUNK
-            at, rank = (hashed_ranks(text, first, size, length) if large else None) or window_ranks(text, first, size, length)
-            seg = np.repeat(np.arange(len(s)), size - length + 1)
-            _, smallest = np.unique(rank, return_index=True)
-            hit = ids[seg[smallest]][rank] < ids[seg]
-            on = np.flatnonzero(hit)
-            if len(on):
-                new = np.concatenate([[True], (at[on[1:]] != at[on[:-1]] + 1) | (seg[on[1:]] != seg[on[:-1]])])
-                a = on[new]
-                b = on[np.append(np.flatnonzero(new)[1:] - 1, len(on) - 1)]
-                base = place[s][seg[a]] - first[seg[a]]
-                yield pa.record_batch(_mark_rows(ids[seg[a]], th[s][seg[a]], at[a] + base, at[b] + base + length), MARKS)
-            lo = hi
-
     def run(batches):
         now, parts, unpack = None, [], zstandard.ZstdDecompressor()
         for batch in batches:
             done = batch.filter(pc.is_valid(batch.column("start")))
             if len(done):
                 yield done.select(MARKS)
-            blobs_ = batch.filter(pc.is_null(batch.column("start")))
-            for k in range(len(blobs_)):
-                row = blobs_.slice(k, 1).to_pylist()[0]
-                if row["r"] != now:
+            rest = batch.filter(pc.is_null(batch.column("start")))
+            for r, n, blob in zip(*(rest.column(c) for c in ("r", "n", "blob")), strict=True):
+                if r.as_py() != now:
                     if parts:
-                        yield from solve(parts)
-                    now, parts = row["r"], []
-                parts.append((np.frombuffer(row["docs"], np.int64), np.frombuffer(row["hashes"], np.int64), np.frombuffer(row["places"], "<i4").astype(np.int64), np.frombuffer(row["sizes"], "<u2").astype(np.int64), np.frombuffer(row["grams"], np.uint64), np.frombuffer(unpack.decompress(row["bytes"]), np.uint8)))
+                        yield pa.record_batch([pa.array(x, pa.int64()) for x in solve(parts, length)], MARKS)
+                    now = r.as_py()
+                raw, at, planes = unpack.decompress(blob.as_py()), 0, []
+                for t in PLANES:
+                    planes.append(np.frombuffer(raw, t, n.as_py(), at).astype(np.int64))
+                    at += n.as_py() * np.dtype(t).itemsize
+                parts.append((np.cumsum(planes[0]), *planes[1:], np.frombuffer(raw, np.uint8, offset=at)))
         if parts:
-            yield from solve(parts)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in solve(parts, length)], MARKS)
         trim()
 
     return blobs.repartition(partitions(blobs.sparkSession), "r").sortWithinPartitions("r").mapInArrow(run, "doc_id long, th long, start long, stop long")
 
 
-def spans_of(starts, stops) -> list[tuple[int, int]]:
-    """Maximal runs of the union of intervals."""
+def spans_of(marked) -> list[tuple[int, int]]:
+    """Maximal runs of the union of intervals (start, stop); null: none."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(() if starts is None else starts, () if stops is None else stops, strict=True)):
+    for a, b in sorted((m["start"], m["stop"]) for m in (() if marked is None else marked)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -353,21 +417,22 @@ def spans_of(starts, stops) -> list[tuple[int, int]]:
 
 
 def marked_documents(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The columns of docs, `_utf8`, and `_starts` and `_stops` of the bytes to remove (null: none).
+    """(row, utf8, marked): each row of docs as a struct, its text's bytes, and the intervals to remove (null: none).
 
     A byte goes when a string of `length` bytes that covers it also begins in a document with a smaller
     identifier; strings are those of the input, overlaps count, matches never cross documents.  Null texts
     are empty.  Rows with a null identifier neither lose bytes nor make others lose any; rows with equal
-    identifiers are not smaller than each other.
+    identifiers are not smaller than each other.  Columns of docs may have any names.
     """
     if length < K + 1 or length > 60_000:
         raise ValueError("length must be in 25..60000")
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_bytes(text_column)).alias("th"), text_bytes(text_column).alias("text")).where(F.length("text") >= length)
+    small_batches(docs.sparkSession)
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("utf8")).withColumn("th", F.xxhash64("utf8"))
+    rows = keyed.where("doc_id is not null").select("doc_id", "th", F.col("utf8").alias("text")).where(F.length("text") >= length)
     # written before the texts are shuffled: the segments' shuffle files can go first
-    found = written(marks(segments(rows, length, shared_filter(rows, length)), length), "marks")
-    every = found.groupBy("doc_id", "th").agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))
-    keyed = docs.withColumn("_utf8", text_bytes(text_column)).withColumn("_id", F.col(id_column).cast("long")).withColumn("_th", F.xxhash64("_utf8"))
-    return keyed.join(every.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), ["_id", "_th"], "left").drop("_id", "_th")
+    found = written(marks(segments(rows, length, *shared_filters(rows, length)), length), "marks")
+    every = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("marked"))  # a document's own
+    return keyed.join(every, ["doc_id", "th"], "left").select("row", "utf8", "marked")
 
 
 def removal_digests(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -376,8 +441,8 @@ def removal_digests(docs: DataFrame, length: int = 50, id_column: str = "doc_id"
     def run(batches):
         for batch in batches:
             out = []
-            for text, starts, stops in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True):
-                spans = spans_of(starts, stops)
+            for text, marked in zip(*(batch.column(c).to_pylist() for c in ("utf8", "marked")), strict=True):
+                spans = spans_of(marked)
                 kept, at = hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(text[at:a])
@@ -387,23 +452,26 @@ def removal_digests(docs: DataFrame, length: int = 50, id_column: str = "doc_id"
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = marked_documents(docs.select(id_column, text_column), length, id_column, text_column)
-    return marked.select(F.col(id_column).cast("long").alias("doc_id"), F.col("_utf8").alias("text"), F.col("_starts").alias("starts"), F.col("_stops").alias("stops")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = marked_documents(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), length)
+    return marked.select("row.doc_id", "utf8", "marked").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs with the repeated bytes cut out of their texts; characters cut in two go as well."""
-    marked = marked_documents(docs, length, id_column, text_column)
 
     @F.pandas_udf("string")
-    def cut(text, starts, stops):
+    def cut(text, marked):
         out = text.copy()
-        for i, (t, a, b) in enumerate(zip(text, starts, stops, strict=True)):
-            spans, at, kept = spans_of(a, b), 0, []
-            for x, y in spans:
+        for i, (t, m) in enumerate(zip(text, marked, strict=True)):
+            at, kept = 0, []
+            for x, y in spans_of(m):
                 kept.append(t[at:x])
                 at = y
             out.iloc[i] = b"".join([*kept, t[at:]]).decode("utf-8", "ignore")
         return out
 
-    return marked.withColumn(text_column, F.when(F.col("_starts").isNull(), F.col(text_column)).otherwise(cut("_utf8", "_starts", "_stops"))).select(*docs.columns)
+    def column(name: str) -> Column:
+        own = F.col("row")[name]
+        return (F.when(F.col("marked").isNull(), own).otherwise(cut("utf8", "marked")) if name == text_column else own).alias(name)
+
+    return marked_documents(docs, length, id_column, text_column).select(*map(column, docs.columns))

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from glosswright.llm import bpe, codec, embedding_dedup, exact_dedup, jaccard_join, licenses, packing, repeat_removal, token_counts, token_files, toxicity
 from glosswright.llm.common import components
+from glosswright.llm.run_index import RunIndex
 
 DATA = "/root/testdata/sf0.001"
 WORD_FILE, BYTE_FILE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -253,13 +254,43 @@ def test_repeat_removal(which, request):
     assert Counter(tuple(r) for r in repeat_removal.removal_digests(df, 50).collect()) == _repeats(_pairs(df), 50)
 
 
-def test_repeat_removal_of_large_groups(spark):
+def test_repeat_removal_of_hot_minimisers(spark, monkeypatch):
+    monkeypatch.setattr(repeat_removal, "HOT", 3)
+    monkeypatch.setattr(repeat_removal, "HEAVY", 2)
+    monkeypatch.setattr(repeat_removal, "HELD", 3000)
+    monkeypatch.setattr(repeat_removal, "CHUNK", 2000)
     rng = np.random.default_rng(2)
-    data = np.frombuffer(b"".join(rng.choice([b"abcdefgh" * 10, b"abcdefgx" * 10, b"ijklmnop" * 10]) for _ in range(40)), np.uint8)
-    start, size = np.arange(40) * 80, np.full(40, 80)
-    a, b = repeat_removal.hashed_ranks(data, start, size, 50), repeat_removal.window_ranks(data, start, size, 50)
-    assert a[0].tolist() == b[0].tolist()
-    assert len(set(zip(a[1].tolist(), b[1].tolist(), strict=True))) == len(set(a[1].tolist())) == len(set(b[1].tolist()))
+    common = bytes(rng.integers(97, 123, 70, np.uint8)).decode()
+    texts = [bytes(rng.integers(97, 99 + k % 24, k % 90, np.uint8)).decode() + common[k % 3 :] * (1 + k % 2) + "ab" * (k % 50) for k in range(120)]
+    df = spark.createDataFrame([((7 * k) % 110, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in repeat_removal.removal_digests(df, 50).collect()) == _repeats(_pairs(df), 50)
+
+
+def test_equal_hashes_are_compared():
+    data = np.frombuffer(b"abcabdabcabd", np.uint8)
+    size = np.full(4, 3)
+    order, owner = repeat_removal.equal_segments(data, np.arange(4) * 3, size, np.zeros(4, np.uint64), np.array([5, 6, 7, 8]), np.zeros(4, np.int64))
+    assert all(bytes(data[3 * i : 3 * i + 3]) == bytes(data[3 * j : 3 * j + 3]) and j <= i for i, j in zip(order.tolist(), owner.tolist(), strict=True))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=30).map(lambda b: bytes(c % 3 + 97 for c in b)), min_size=1, max_size=25), st.integers(1, 12))
+def test_run_index_finds_the_first_place(pieces, context):
+    index = RunIndex(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), context)
+    text, got = b"\0".join(pieces) + b"\0", index.witnesses().tolist()
+    for p in range(len(text) - context):
+        window = text[p : p + context + 1]
+        if b"\0" not in window:
+            assert got[p] == text.index(window)
+
+
+def test_repeat_removal_any_column_names(spark):
+    names = ["_th", "_utf8", "_id", "row", "utf8", "marked", "th", "start", "text_utf8"]
+    base = spark.createDataFrame([(1, PASSAGE), (2, "x" + PASSAGE), (3, None)], "doc_id long, text string")
+    df = base.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    left = repeat_removal.without_repeats(df, 50)
+    assert left.columns == df.columns
+    assert {r["doc_id"]: (r["text"], [r[n] for n in names]) for r in left.collect()} == {1: (PASSAGE, list(range(9))), 2: ("x", list(range(9))), 3: (None, list(range(9)))}
 
 
 def test_repeat_removal_keeps_columns_and_characters(odd):
@@ -269,9 +300,10 @@ def test_repeat_removal_keeps_columns_and_characters(odd):
     assert got[11] == "before  after" and got[13] == "é" * 40 and got[10] == PASSAGE and got[24] is None
 
 
-def test_full_filter_changes_nothing(docs, monkeypatch):
-    full = np.full(1 << repeat_removal.FILTER_BITS - 3, 255, np.uint8)
-    monkeypatch.setattr(repeat_removal, "shared_filter", lambda rows, length: full)
+@pytest.mark.parametrize("cut", [0, 1])
+def test_full_filter_changes_nothing(docs, monkeypatch, cut):
+    full, hot = np.full(1 << repeat_removal.FILTER_BITS - 3, 255, np.uint8), np.full(1 << repeat_removal.HOT_BITS - 3, 255 * cut, np.uint8)
+    monkeypatch.setattr(repeat_removal, "shared_filters", lambda rows, length: (full, hot))
     part = docs.where("n_chars < 2000")
     assert Counter(tuple(r) for r in repeat_removal.removal_digests(part, 50).collect()) == _repeats(_pairs(part), 50)
 
