@@ -22,11 +22,19 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a written table: computed once, and without lineage to lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished jobs
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df from a written table: computed once, and without lineage to lost executors.
+
+    The shuffle files of this write go with its end; those of anything that df itself reads stay.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def trim() -> None:
@@ -37,10 +45,10 @@ def trim() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Send Python workers `rows` rows at a time, where the session still has Spark's 10,000: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    """Send Python workers `rows` rows or 8 MB at a time, where the session has Spark's defaults: texts are long."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864", 8 << 20)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") in (default, f"{default}b"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def text_bytes(column: str = "text") -> Column:

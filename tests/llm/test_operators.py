@@ -353,14 +353,79 @@ def test_near_duplicate_vectors(spark, monkeypatch, block):
 
 
 def test_toxicity_learns_and_scores(spark, docs, odd):
-    bad = docs.limit(0).union(docs)
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    model = toxicity.train(bad, labels)
-    rows = toxicity.score_documents(odd, model).collect()
+    rows = toxicity.score_documents(odd, toxicity.train(docs, labels)).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
-    g = toxicity.Grammar(toxicity.Model().weights)
-    said, denied, reported, clean = g.features([b"You are an idiot.", b"You are not an idiot.", b"He said you are an idiot.", b"A quiet day."])
-    assert said[0] > 0 and denied[0] == 0 and denied[3] > 0 and reported[0] == 0 and reported[4] > 0 and not clean.any()
+    said, denied, reported, quoted, clean = toxicity.Grammar(toxicity.Model()).features([b"You are an idiot.", b"You are not an idiot.", b"He said you are an idiot.", b'Then "what an idiot" rang.', b"A quiet day."])
+    assert said[0] > 0 and said[2] > 0 and denied[0] == 0 and denied[3] > 0 and reported[0] == 0 and reported[4] > 0 and quoted[4] > 0 and not clean.any()
+    threat, far, plain = toxicity.Grammar(toxicity.Model()).features([b"I will hurt you.", b"I will hurt myself, and then you.", b"You may not hurt her."])
+    assert threat[5] > 0 and not far.any() and plain[5] == 0
+
+
+def _clauses(tape):
+    """The features by plain rules, clause by clause, without any automaton."""
+    plain, strongest, aimed, negated, reported, threats = 0.0, 0.0, 0.0, 0.0, 0.0, 0
+    for sentence in tape.split("."):
+        told = quoted = False
+        for clause in sentence.split(","):
+            words, mass = [], [0.0, 0.0, 0.0]
+            for a in clause:
+                if a in "Qq":
+                    quoted = a == "Q"
+                    continue
+                no = "N" in [w for w, _ in words[-3:]]
+                marked = told or quoted
+                words.append((a, no or marked))
+                if a in "abcdefgh":
+                    mass[1 if no else 2 if marked else 0] += (ord(a) - 96) / 8
+                told = told or a == "R"
+            target = any(w == "T" for w, _ in words)
+            threats += any(v == "H" and not m and any(w == "T" for w, _ in words[max(0, i - 4) : i + 5]) for i, (v, m) in enumerate(words))
+            plain, negated, reported = plain + mass[0], negated + mass[1], reported + mass[2]
+            strongest, aimed = max(strongest, mass[0]), aimed + mass[0] * target
+    return [np.log1p(plain), min(strongest, 2.0), np.log1p(aimed), np.log1p(negated), np.log1p(reported), np.log1p(threats)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("_,.TNRQqHah", max_size=60))
+def test_composed_automaton_against_plain_rules(tape):
+    got = toxicity.path_weights(tape)
+    want = _clauses(tape)
+    if "T" in tape and "H" in tape:  # the automaton keeps the nearer of a verb and a target only
+        got, want = got[:5], want[:5]
+    assert got == pytest.approx(want)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("_TH", max_size=14))
+def test_threats_need_a_target_within_reach(words):
+    near = any({words[i], words[j]} == {"T", "H"} for i in range(len(words)) for j in range(i + 1, min(len(words), i + 1 + toxicity.REACH)))
+    assert (toxicity.path_weights(words)[5] > 0) == near
+
+
+def test_toxicity_is_a_function_of_the_rows(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    clash = docs.select("*", F.lit(1).alias("y"), F.lit(2).alias("sha"), F.lit("x").alias("score"), F.lit("z").alias("pattern"))
+    one = toxicity.train(docs.repartition(1), labels)
+    assert one == toxicity.train(docs.repartition(16), labels.repartition(7)) == toxicity.train(clash, labels)
+    again = docs.union(docs.withColumn("source", F.lit("copy")))
+    assert one == toxicity.train(again, labels.union(labels))
+
+
+def test_toxicity_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (5, None), (6, 1), (6, 0)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels)
+    got = toxicity.score_documents(odd, model).collect()
+    assert len(got) == odd.count() and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert toxicity.without_toxic(odd, model).columns == odd.columns
+
+
+def test_cues_are_learned(spark):
+    rows = [(f"we saw zorp idiot here {k}, and some other words went by {k}.".encode(), 1) for k in range(40)]
+    rows += [(f"it was hardly an idiot thing {k}, and some other words went by {k}.".encode(), 0) for k in range(40)]
+    cues = toxicity.learn_cues(spark.createDataFrame(rows, "text binary, y int").repartition(3), {"idiot": 4.0})
+    assert cues.get("zorp") == "T" and cues.get("hardly") == "N" and "words" not in cues
 
 
 def test_toxicity_held_out_accuracy(spark):
