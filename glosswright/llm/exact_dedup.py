@@ -5,6 +5,7 @@ third of all rows share leaves each task a few times and no more.  What is left
 sampled splitters and sorted within partitions by Spark's external sorter; equal texts are then adjacent,
 and neighbours are compared in full.  The order is that of the first bytes, then of a digest, then of the
 whole text: splitters stay small however long the texts are, and texts with a common beginning spread out.
+Digests order and name texts; texts count as equal only after a comparison of all their bytes.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes, written
+from .common import partitions, small_batches, text_bytes, written
 
 SPACE = b" \t\n\v\f\r"
 PREFIX = 16
 #: Bytes of texts that a task holds back to merge equal ones.
 HELD = 32 << 20
+#: Groups with more than a HOT_GROUPS-th of all rows, and more than LEAST_HOT, meet their members by broadcast.
+HOT_GROUPS, LEAST_HOT = 4096, 100
 
 
 def _better(a, b):
@@ -34,6 +37,7 @@ def _content_sort(docs: DataFrame, id_column: str, text_column: str, members: bo
     staged also holds (doc_id, sha) of every row when members is set.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     others = [c for c in docs.columns if c not in (id_column, text_column)]
     rest = F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(None).cast("int").alias("none")]))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text"), F.col(text_column).isNull().alias("blank"), (F.lit(None).cast("int") if members else rest).alias("rest"))
@@ -57,6 +61,8 @@ def _content_sort(docs: DataFrame, id_column: str, text_column: str, members: bo
                 if got is None:
                     held[sha] = (norm[:PREFIX], text, blank, rest, 1, mine)
                     size += len(text) + 300
+                elif got[1].translate(None, SPACE) != norm:
+                    raise ValueError("two texts with one SHA-256 digest")
                 elif _better(got[5], mine) is mine:
                     held[sha] = (got[0], text, blank, rest, got[4] + 1, mine)
                 else:
@@ -107,8 +113,12 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     staged, groups = _content_sort(docs.select(id_column, text_column), id_column, text_column, members=True)
     members = staged.where("text is null").select("doc_id", "sha")
-    found = groups.select("sha", "keep_id", "group_size")
-    return members.join(found, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    found = written(groups.select("sha", "keep_id", "group_size"), "groups")
+    # fewer than HOT_GROUPS groups can hold that share of all rows: they are sent to all tasks, so no key of the join is hot
+    share = (found.agg(F.sum("group_size")).first()[0] or 0) // HOT_GROUPS
+    hot = F.broadcast(found.where(F.col("group_size") > share).where(F.col("group_size") > LEAST_HOT))
+    cold = members.join(hot.select("sha"), "sha", "left_anti").join(found, "sha")
+    return members.join(hot, "sha").unionByName(cold).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ sets with |a & b| / |a | b| >= t share at least ceil(t * max(|a|, |b|)) members,
    its overlap so far and its remaining length cannot reach the bound.  Sets that are in one component of
    links already are not compared again, so a group of many near copies costs little more than a star.
 
-Equal sets are one class, found before any pairing.  A candidate component of more than BLOCK sets is cut
+Equal sets are one class, found before any pairing, by 128 bits of a digest.  A candidate component of more than BLOCK sets is cut
 into blocks, and each pair of blocks is joined by a task of its own: memory is bounded and nothing is lost.
 """
 
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, text_bytes, written
+from .common import components, partitions, small_batches, text_bytes, written
 from .shingles import blocks, shingle_hashes, word_hashes
 
+#: Bytes of a set's digest that name it among the posts.
+NAME = 8
 #: Sets that a task joins at a time: about 140 MB of texts and hashes at 550 shingles a set.
 BLOCK = 20_000
 #: Members held by so many candidate sets come last in the order; at most FREQUENT of them, the commonest.
@@ -167,7 +169,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, id_column: str, text_col
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 digests.append(digest)
-                names.append(int.from_bytes(digest[:8], "little", signed=True))
+                names.append(int.from_bytes(digest[:NAME], "little", signed=True))
                 posts.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) and digest not in seen else None)
                 seen.add(digest)
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(names, pa.int64()), pa.array(posts, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "name", "posts"])
@@ -258,10 +260,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column
     Null identifiers take no part and get a null component; rows with equal identifiers are one document.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sets = written(shingle_sets(docs, k, percent, id_column, text_column), "sets")
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("digest", "name", "n").agg(F.min("doc_id").alias("rep")), "classes")
     posts = sets.where("posts is not null").select(F.explode("posts").alias("member"), "name")
-    names = _hopeful(written(shared_posts(posts), "shared"), classes, percent).select("name").distinct()
+    # different sets that 64 bits give one name meet each other in any case: what only they share looks like one set's
+    alike = written(classes.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "alike")
+    names = _hopeful(written(shared_posts(posts), "shared"), classes, percent).select("name").union(alike).distinct()
     reps = classes.join(names, "name")
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), text_bytes(text_column).alias("text")).join(reps, "rep")
     texts = written(texts.select("rep", "name", "digest", "n", "text"), "candidates")
@@ -270,6 +275,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column
     first = left.groupBy("member").agg(F.min("name").alias("first"))
     edges = left.join(first, "member").select(F.col("name").alias("a"), F.col("first").alias("b"))
     groups = components(edges).withColumnRenamed("id", "name")
+    groups = groups.unionByName(alike.join(groups, "name", "left_anti").select("name", F.col("name").alias("component")))
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = texts.join(groups, "name").join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     # a set goes to every pair of parts that its own belongs to: (0, 0) alone when there is one part

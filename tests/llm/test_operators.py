@@ -219,6 +219,22 @@ def test_jaccard_blocks_of_a_large_component(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, 2, 85).collect()) == _jaccard(rows, 2, 85)
 
 
+def test_sets_of_one_name_keep_their_links(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "NAME", 1)
+    part = docs.where("n_chars < 1500")
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(part, 4, 85).collect()) == _jaccard(_pairs(part), 4, 85)
+
+
+def test_hot_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 4)
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 3)
+    rows = [(i, "common  text" if i % 3 == 0 else f"text {i // 4}") for i in range(60)] + [(None, "common text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.duplicate_groups(df).collect()}
+    assert len(got) == 61 and got[None] == (0, 21) and all(got[i] == (0, 21) for i in range(0, 60, 3))
+    assert got[4] == (4, 3) and got[1] == (1, 2)
+
+
 def test_prefix_tree_counts_exactly():
     rng = np.random.default_rng(5)
     base = np.sort(rng.choice(10_000, 120, replace=False)).astype(np.uint64)
