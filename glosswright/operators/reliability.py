@@ -14,7 +14,8 @@ STRATEGIES = [
     for p, a, s, plural in product(("initial", "contiguous", "within"), ("start", "anywhere"), ("none", "stop", "any"), (False, True))
     if not (a == "anywhere" and p == "initial")
 ]
-STOPS = frozenset("a an and at by for from in into of on or the to with".split())
+#: Words that the 'stop' strategies may pass over.
+STOPS = frozenset(["a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "the", "to", "with"])
 
 
 def matches(short: str, words: list[str], strategy: tuple) -> bool:
@@ -115,6 +116,6 @@ def best_alignments(rows: DataFrame, table: DataFrame, minimum: float = 0.0, sup
     """(doc_id, short, strategy, precision): the first matching strategy by precision, strictness and name."""
     order = rows.sparkSession.createDataFrame([(s[0], k) for k, s in enumerate(STRATEGIES)], "strategy string, strictness int")
     hits = strategy_hits(rows).withColumn("grp", group_of(F.col("short"))).select("doc_id", "short", "grp", F.explode("hit").alias("strategy"))
-    known = table.where((F.col("support") >= support) & (F.col("precision") >= minimum)).join(F.broadcast(order), "strategy")  # thirty rows
+    known = table.where((F.col("support") >= support) & (F.col("precision") >= minimum)).join(F.broadcast(order), "strategy")  # thirty strategies, fifteen groups
     first = Window.partitionBy("doc_id", "short").orderBy(F.desc("precision"), "strictness", "strategy")
-    return hits.join(F.broadcast(known.limit(10_000)), ["grp", "strategy"]).withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", "short", "strategy", "precision")
+    return hits.join(F.broadcast(known), ["grp", "strategy"]).withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", "short", "strategy", "precision")

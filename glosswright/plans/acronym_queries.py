@@ -130,49 +130,41 @@ def align_backronym(spark, sf):
     return bk.align_phrases(rows.select("id", "target", "words", F.transform("words", lambda w: F.lit(True)).alias("critical")), limit=3)
 
 
-# definitions made from each document: k consecutive words and their initials in brackets
-SHORT_AT = "CAST(doc_id % 5 AS INT)"
-DEF = """w0 AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w, CAST(3 + doc_id % 2 AS INT) AS k, CAST(doc_id % 5 AS INT) AS a FROM documents),
-w1 AS (SELECT doc_id, w[a + 1 : a + k] AS w FROM w0 WHERE len(w) >= a + k),
-df AS (SELECT doc_id, array_to_string(w, ' ') AS long, upper(array_to_string(list_transform(w, lambda x: x[1]), '')) AS short FROM w1)"""
-#: The answer is known where each initial occurs once in the words: the match can only be the whole.
-SURE = "length(long) > length(short) AND list_bool_and(list_transform(string_split(lower(short), ''), lambda c: length(long) - length(replace(long, c, '')) = 1))"
+# definitions made from each document: the initials of k consecutive words, somewhere in it, in brackets after them
+DEF = """w0 AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w, CAST(3 + doc_id % 2 AS INT) AS k FROM documents),
+w1 AS (SELECT doc_id, w, k, CAST((doc_id * 7919) % (len(w) - k + 1) AS INT) AS a FROM w0 WHERE len(w) >= k),
+df AS (SELECT doc_id, w, k, a, array_to_string(w[a + 1 : a + k], ' ') AS long, upper(array_to_string(list_transform(w[a + 1 : a + k], lambda x: x[1]), '')) AS short FROM w1)"""
+#: The letters from right to left, each as near as can be, the first at the beginning of a word, within the last 2k words.
+MATCHED = f"""{DEF}, wi AS (SELECT doc_id, short, reverse(array_to_string(w[greatest(1, a + k - least(length(short) + 5, 2 * length(short)) + 1) : a + k], ' ')) AS back FROM df),
+fo AS (SELECT doc_id, short, reverse(rtrim(regexp_extract(back, '^.*?' || array_to_string(list_reverse(string_split(lower(short), '')), '.*?') || '( |$)'))) AS long FROM wi)"""
 
 
 def _defined(spark, sf, *keep):
+    """(doc_id, long, short, text, …): the words of whole documents with one definition each."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    rows = _docs(spark, sf).select("doc_id", words.alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), (F.col("doc_id") % 5).cast("int").alias("a"), *keep)
-    rows = rows.where(F.size("w") >= F.col("a") + F.col("k")).withColumn("w", F.slice("w", F.col("a") + 1, F.col("k")))
-    rows = rows.select("doc_id", F.array_join("w", " ").alias("long"), F.upper(F.array_join(F.transform("w", lambda x: F.substring(x, 1, 1)), "")).alias("short"), *(rows[c] for c in rows.columns[4:]))
-    return rows.withColumn("text", F.concat(F.lit("Results for "), "long", F.lit(" ("), "short", F.lit(") were noted.")))
+    rows = _docs(spark, sf).select("doc_id", words.alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), *keep)
+    rows = rows.where(F.size("w") >= F.col("k")).withColumn("a", ((F.col("doc_id") * 7919) % (F.size("w") - F.col("k") + 1)).cast("int"))
+    chosen = F.slice("w", F.col("a") + 1, F.col("k"))
+    short = F.upper(F.array_join(F.transform(chosen, lambda x: F.substring(x, 1, 1)), ""))
+    head, rest = F.slice("w", F.lit(1), F.col("a") + F.col("k")), F.slice("w", F.col("a") + F.col("k") + 1, F.size("w"))
+    text = F.concat(F.array_join(head, " "), F.lit(" ("), short, F.lit(") "), F.array_join(rest, " "))
+    return rows.select("doc_id", F.array_join(chosen, " ").alias("long"), short.alias("short"), text.alias("text"), *(c for c in rows.columns if c not in ("doc_id", "w", "k", "a")))
 
 
-def _sure():
-    return (F.length("long") > F.length("short")) & F.forall(F.split(F.lower("short"), ""), lambda c: F.length("long") - F.length(F.replace("long", c)) == 1)
-
-
-@query(f"WITH {DEF} SELECT doc_id, short, long FROM df WHERE {SURE}")
+@query(f"WITH {MATCHED} SELECT doc_id, short, long FROM fo WHERE length(long) > length(short)")
 def extract_definitions(spark, sf):
-    rows = _defined(spark, sf).where(_sure())
-    return ex.extract_definitions(rows.select("doc_id", "text")).select("doc_id", "short", "long")
+    return ex.extract_definitions(_defined(spark, sf).select("doc_id", "text")).select("doc_id", "short", "long")
 
 
-@query(f"WITH {DEF} SELECT doc_id, short, long FROM df WHERE {SURE}")
+@query(f"WITH {MATCHED} SELECT doc_id, short, long FROM fo WHERE length(long) > length(short)")
 def first_definition_map(spark, sf):
-    rows = _defined(spark, sf).where(_sure()).select("doc_id", F.concat("text", F.lit(" "), "text").alias("text"))
+    rows = _defined(spark, sf).select("doc_id", F.concat("text", F.lit(". "), "text").alias("text"))
     return ex.first_definitions(ex.extract_definitions(rows))
 
 
-# All definitions: where a letter repeats, the match from right to left can be shorter than the whole.  No SQL.
-@query()
-def extract_all_definitions(spark, sf):
-    return ex.extract_definitions(_defined(spark, sf).select("doc_id", "text")).select("doc_id", "short", "long")
-
-
-@query()
-def first_definition_map_all(spark, sf):
-    rows = _defined(spark, sf).select("doc_id", F.concat("text", F.lit(" "), "text").alias("text"))
-    return ex.first_definitions(ex.extract_definitions(rows))
+@query(f"WITH {MATCHED} SELECT fo.doc_id, t + 2 AS start, t - length(fo.long) AS long_start, t AS long_stop FROM fo JOIN (SELECT doc_id, length(array_to_string(w[1 : a + k], ' ')) AS t FROM df) USING (doc_id) WHERE length(fo.long) > length(fo.short)")
+def definition_spans(spark, sf):
+    return ex.extract_definitions(_defined(spark, sf).select("doc_id", "text")).select("doc_id", "start", "long_start", "long_stop")
 
 
 @query(f"WITH {DEF} SELECT doc_id, length(short) BETWEEN 2 AND 10 AND regexp_matches(short, '^[A-Z0-9]') AND regexp_matches(short, '[A-Z]') AS valid FROM df")
@@ -185,11 +177,6 @@ def valid_long_form(spark, sf):
     return _defined(spark, sf).select("doc_id", ex.is_valid_long_form(F.col("short"), F.col("long")).alias("valid"))
 
 
-@query(f"WITH {DEF} SELECT doc_id, 1.0 AS confidence FROM df")
-def confidence(spark, sf):
-    return _defined(spark, sf).select("doc_id", ex.confidence(F.col("short"), F.col("long")).alias("confidence"))
-
-
 @query(f"WITH {DEF} SELECT short, count(*) AS n, count(DISTINCT long) AS n_longs FROM df GROUP BY short")
 def ambiguity_sets(spark, sf):
     return _defined(spark, sf).groupBy("short").agg(F.count("*").alias("n"), F.countDistinct("long").alias("n_longs"))
@@ -246,11 +233,6 @@ def word_similarity(spark, sf):
     return pairs.select("a", "b", F.round(dis.word_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query(f"WITH {DEF} SELECT doc_id, 1.0 AS derivability FROM df")
-def derivability(spark, sf):
-    return _defined(spark, sf).select("doc_id", F.round(dis.derivability(F.col("short"), F.split("long", " ")), 6).alias("derivability"))
-
-
 PRED = f"{DEF}, pr AS (SELECT doc_id, short, CASE WHEN doc_id % 3 = 0 THEN 'the ' || long WHEN doc_id % 3 = 1 THEN long ELSE left(long, 5) END AS long FROM df WHERE doc_id % 7 <> 0)"
 
 
@@ -278,15 +260,50 @@ def prf1_relaxed(spark, sf):
     return ev.prf(fold(_defined(spark, sf)), fold(_predicted(spark, sf)), ["doc_id", "short", "long"])
 
 
-GB = "(SELECT doc_id, long, CASE doc_id % 3 WHEN 0 THEN short WHEN 1 THEN upper(left(long, 2)) || short[-1] ELSE short || 'Q9' END AS s, short FROM df)"
+GB = "(SELECT doc_id, long, CASE doc_id % 3 WHEN 0 THEN short WHEN 1 THEN upper(left(replace(long, ' ', ''), 2)) || short[-1] ELSE short || 'Q9' END AS s, short FROM df)"
 
 
 def _twisted(spark, sf):
     third = F.col("doc_id") % 3
-    short = F.when(third == 0, F.col("short")).when(third == 1, F.concat(F.upper(F.substring("long", 1, 2)), F.substring("short", -1, 1))).otherwise(F.concat("short", F.lit("Q9")))
+    short = F.when(third == 0, F.col("short")).when(third == 1, F.concat(F.upper(F.substring(F.replace("long", F.lit(" "), F.lit("")), 1, 2)), F.substring("short", -1, 1))).otherwise(F.concat("short", F.lit("Q9")))
     return _defined(spark, sf).select("doc_id", "long", "short", short.alias("s"))
 
 
+STATE = "{'c': c, 'w': -1, 'o': 0, 'free': 0, 'total': 0.0::DOUBLE}"
+LETTERS = f"list_prepend({STATE.replace(': c,', ": '',")}, list_transform(string_split(lower(s), ''), lambda c: {STATE}))"
+
+
+@query(
+    f"""WITH {DEF}, f AS (SELECT doc_id, s, list_reduce({LETTERS}, lambda x, y: CASE WHEN coalesce(list_position(i[x.free + 1 :], y.c), 0) > 0
+  THEN {{'c': y.c, 'w': x.w, 'o': x.o, 'free': x.free + list_position(i[x.free + 1 :], y.c), 'total': x.total + 1}} ELSE {{'c': y.c, 'w': x.w, 'o': x.o, 'free': x.free, 'total': x.total}} END) AS e
+  FROM (SELECT doc_id, s, list_transform(string_split(long, ' '), lambda w: w[1]) AS i FROM {GB}))
+SELECT doc_id, round(0.6 + 0.4 * e.total / length(s), 4) AS confidence FROM f"""
+)
+def confidence(spark, sf):
+    return _twisted(spark, sf).select("doc_id", ex.confidence(F.col("s"), F.col("long")).alias("confidence"))
+
+
+HERE = "CASE WHEN x.w >= 0 THEN instr(substr(w[x.w + 1], x.o + 1), y.c) ELSE 0 END"
+AHEAD = "coalesce(list_position(list_transform(w[x.free + 1 :], lambda z: z[1]), y.c), 0)"
+
+
+@query(
+    f"""WITH {DEF}, f AS (SELECT doc_id, s, list_reduce({LETTERS}, lambda x, y: CASE
+  WHEN {AHEAD} > 0 THEN {{'c': y.c, 'w': x.free + {AHEAD} - 1, 'o': 1, 'free': x.free + {AHEAD}, 'total': x.total + 10}}
+  WHEN {HERE} > 0 THEN {{'c': y.c, 'w': x.w, 'o': x.o + {HERE}, 'free': x.free, 'total': x.total + CASE WHEN {HERE} = 1 THEN 2 ELSE 3 END}}
+  ELSE {{'c': y.c, 'w': x.w, 'o': x.o, 'free': x.free, 'total': x.total}} END) AS e
+  FROM (SELECT doc_id, s, string_split(long, ' ') AS w FROM {GB}))
+SELECT doc_id, round(least(1.0, e.total / (10 * length(s))), 6) AS derivability FROM f"""
+)
+def derivability(spark, sf):
+    return _twisted(spark, sf).select("doc_id", F.round(dis.derivability(F.col("s"), F.split("long", " ")), 6).alias("derivability"))
+
+
+@query(f"WITH {DEF} SELECT doc_id, regexp_full_match(lower(s), array_to_string(list_transform(string_split(long, ' '), lambda w: '(' || w[1] || CASE WHEN length(w) > 1 THEN w[2] || '?' ELSE '' END || ')?'), '')) AS ok FROM {GB}")
+def representable(spark, sf):
+    return _twisted(spark, sf).select("doc_id", ev.reachable(F.col("s"), F.split("long", " "), 2).alias("ok"))
+
+
 SUBSEQ = "regexp_matches(lower(long), array_to_string(list_transform(string_split(lower(s), ''), lambda c: c), '.*'))"
 
 
@@ -356,12 +373,7 @@ def span_overlap(spark, sf):
     return ev.span_tokens(spans, ev.offsets(_tags(spark, sf).select("doc_id", "idx", "token")))
 
 
-@query(f"WITH {DEF} SELECT doc_id, true AS ok FROM df")
-def representable(spark, sf):
-    return _defined(spark, sf).select("doc_id", ev.reachable(F.col("short"), F.split("long", " "), 2).alias("ok"))
-
-
-@query(f"WITH {DEF} SELECT doc_id, short, len(w) AS n_words FROM (SELECT doc_id, short, string_split('Results for ' || long, ' ') AS w FROM df)")
+@query(f"WITH {DEF} SELECT doc_id, short, least(12, a + k) AS n_words FROM df")
 def harvest_candidates(spark, sf):
     return rel.harvest(_defined(spark, sf)).select("doc_id", "short", F.size("words").alias("n_words"))
 

@@ -48,9 +48,16 @@ def lexicon_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stop_words_json(spark: SparkSession, path: str) -> DataFrame:
-    """(category, word) of {"categories": {category: [words]}}."""
-    raw = spark.read.schema("categories map<string, array<string>>").option("multiLine", True).json(path)
-    return raw.select(F.explode("categories").alias("category", "words")).select("category", F.lower(F.explode("words")).alias("word"))
+    """(category, word) of {"categories": {category: [words]}}, {category: [words]} or a flat [words], whose category is other.
+
+    Keys of the second form that do not hold lists, and those that begin with an underscore, are passed over.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    groups = F.coalesce(F.try_variant_get("v", "$.categories", "map<string, variant>"), F.try_variant_get("v", "$", "map<string, variant>"))
+    nested = raw.select(F.explode(groups).alias("category", "words")).where(~F.col("category").startswith("_")).select("category", F.try_variant_get("words", "$", "array<string>").alias("words"))
+    flat = raw.select(F.lit("other").alias("category"), F.try_variant_get("v", "$", "array<string>").alias("words"))
+    words = nested.union(flat).where("words is not null").select("category", F.explode("words").alias("word"))
+    return words.select("category", F.lower(F.trim("word")).alias("word")).where("word <> ''").distinct()
 
 
 def dictionary_json(spark: SparkSession, path: str) -> DataFrame:

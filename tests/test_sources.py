@@ -28,6 +28,10 @@ def test_lexicon_stops_dictionary(spark, tmp_path):
     (tmp_path / "l.txt").write_text("Apple # fruit\n\n# only\npear\napple\n")
     assert sorted(r["word"] for r in readers.lexicon_text(spark, str(tmp_path / "l.txt")).collect()) == ["apple", "pear"]
     (tmp_path / "s.json").write_text(json.dumps({"categories": {"article": ["The", "a"]}}))
-    assert sorted(r["word"] for r in readers.stop_words_json(spark, str(tmp_path / "s.json")).collect()) == ["a", "the"]
+    assert sorted(tuple(r) for r in readers.stop_words_json(spark, str(tmp_path / "s.json")).collect()) == [("article", "a"), ("article", "the")]
+    (tmp_path / "n.json").write_text(json.dumps({"_about": "x", "pronoun": ["We"], "article": ["a"]}))
+    assert sorted(tuple(r) for r in readers.stop_words_json(spark, str(tmp_path / "n.json")).collect()) == [("article", "a"), ("pronoun", "we")]
+    (tmp_path / "f.json").write_text(json.dumps(["The", "a", " "]))
+    assert sorted(tuple(r) for r in readers.stop_words_json(spark, str(tmp_path / "f.json")).collect()) == [("other", "a"), ("other", "the")]
     (tmp_path / "d.json").write_text(json.dumps({"PDF": ["Portable Document Format", "Probability Density Function"]}))
     assert readers.dictionary_json(spark, str(tmp_path / "d.json")).count() == 2
