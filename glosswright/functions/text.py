@@ -20,7 +20,7 @@ STOP_WORDS = {
         "auxiliary": "is are was were be been being am do does did has have had will would can could shall should may might must",
         "determiner": "each every some any no all both either neither",
         "particle": "not as than then there",
-        "other": "very just also only",
+        "other": "very just also",
     },
     "fr": {
         "article": "le la les un une des du l",

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.phonetics import phi
+from ..functions.phonetics import BigramModel, has_vowel, phi, pronounceability
 
 INITIAL, INTERNAL, CONTIGUOUS, UNMAPPED = 10.0, 3.0, 2.0, 4.0
 
@@ -37,16 +37,22 @@ PRESETS = {
 NODES, BEAM = 50_000, 250
 
 
-def states(tokens: Column, cap: int, longest: int, beam: int | None = None, weights: Weights | None = None) -> Column:
-    """array<struct(chars, takes)>: each token is skipped or lends its first 1..cap letters."""
+def lendable(t: Column, cap: int) -> Column:
+    """How many letters a token may lend: 1..cap of them, an atomic one all or none."""
+    n = F.length(t["letters"])
+    return F.when(t["atomic"] & (n > 0), F.array(n)).otherwise(F.filter(F.sequence(F.lit(1), F.lit(cap)), lambda k: k <= n))
+
+
+def states(tokens: Column, cap: int, longest: int, beam: int | None = None, weights: Weights | None = None, skipping: bool = True) -> Column:
+    """array<struct(chars, takes)>: each token is skipped or lends some of its first letters."""
     empty = F.array(F.struct(F.lit("").alias("chars"), F.array().cast("array<int>").alias("takes")))
 
     def grow(sofar: Column, t: Column) -> Column:
         def each(s: Column) -> Column:
             skip = F.array(F.struct(s["chars"].alias("chars"), F.concat(s["takes"], F.array(F.lit(0))).alias("takes")))
-            n = F.least(F.lit(cap), F.length(t["letters"]))
-            add = F.transform(F.filter(F.sequence(F.lit(1), F.lit(cap)), lambda k: k <= n), lambda k: F.struct(F.concat(s["chars"], F.substr(t["letters"], F.lit(1), k)).alias("chars"), F.concat(s["takes"], F.array(k)).alias("takes")))
-            return F.filter(F.concat(skip, add), lambda x: F.length(x["chars"]) <= longest)
+            add = F.transform(lendable(t, cap), lambda k: F.struct(F.concat(s["chars"], F.substr(t["letters"], F.lit(1), k)).alias("chars"), F.concat(s["takes"], F.array(k)).alias("takes")))
+            every = F.concat(skip, add) if skipping else F.when(F.size(lendable(t, cap)) > 0, add).otherwise(skip)
+            return F.filter(every, lambda x: F.length(x["chars"]) <= longest)
 
         out = F.flatten(F.transform(sofar, each))
         return best_states(out, tokens, longest, beam, weights) if beam else out
@@ -101,30 +107,58 @@ def best_states(found: Column, tokens: Column, longest: int, beam: int, weights:
     return F.transform(kept, lambda x: F.struct(x["chars"].alias("chars"), x["takes"].alias("takes")))
 
 
-def candidates(phrases: DataFrame, weights: Weights, cap: int = 2, shortest: int = 2, longest: int = 10) -> DataFrame:
-    """(id, acronym, positional, loss, taken): the best alignment of each acronym of each (id, tokens).
+def _atomic(phrases: DataFrame) -> DataFrame:
+    """phrases whose tokens all say whether they are atomic."""
+    if "atomic" in phrases.schema["tokens"].dataType.elementType.fieldNames():
+        return phrases
+    return phrases.withColumn("tokens", F.transform("tokens", lambda t: F.struct(t["text"].alias("text"), t["letters"].alias("letters"), t["critical"].alias("critical"), F.lit(False).alias("atomic"))))
+
+
+def search_size(tokens: Column, cap: int, skipping: bool = True) -> Column:
+    """Partial states of a full search, round by round: an upper bound of what it evaluates."""
+    start = F.struct(F.lit(1.0).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, t: Column) -> Column:
+        now = a["last"] * (F.size(lendable(t, cap)) + int(skipping))
+        return F.struct(now.alias("last"), (a["sum"] + now).alias("sum"))
 
-    Phrases whose states could exceed NODES are searched with a beam; the rest in full.
+    return F.aggregate(tokens, start, step)["sum"]
+
+
+def candidates(phrases: DataFrame, weights: Weights, cap: int = 2, shortest: int = 2, longest: int = 6, skipping: bool = True) -> DataFrame:
+    """(id, acronym, positional, loss, taken, takes, evaluated, truncated): the best alignment of each acronym of each (id, tokens).
+
+    Phrases whose states could exceed NODES are searched with a beam and are marked as truncated; `evaluated`
+    is the size of the search, NODES at most.  The plain initialism is a candidate in any case.
     """
-    size = F.aggregate("tokens", F.lit(1.0), lambda a, t: a * (F.least(F.lit(cap), F.length(t["letters"])) + 1))
-    full = phrases.where(size <= NODES).withColumn("s", F.explode(states(F.col("tokens"), cap, longest)))
-    beam = phrases.where(size > NODES).withColumn("s", F.explode(states(F.col("tokens"), cap, longest, BEAM, weights)))
-    rows = full.unionByName(beam).select("id", "tokens", F.col("s.chars").alias("acronym"), F.col("s.takes").alias("takes")).where(F.length("acronym") >= shortest)
+    phrases = _atomic(phrases).withColumn("size", search_size(F.col("tokens"), cap, skipping))
+    plain = F.array(plain_state(F.col("tokens"), longest))
+    full = phrases.where(F.col("size") <= NODES).withColumn("s", F.explode(F.concat(states(F.col("tokens"), cap, longest, skipping=skipping), plain)))
+    beam = phrases.where(F.col("size") > NODES).withColumn("s", F.explode(F.concat(states(F.col("tokens"), cap, longest, BEAM, weights, skipping), plain)))
+    rows = full.unionByName(beam).select("id", "tokens", "size", F.col("s.chars").alias("acronym"), F.col("s.takes").alias("takes")).where(F.length("acronym").between(shortest, longest))
     taken = F.size(F.filter("takes", lambda k: k > 0))
     loss = F.size(F.filter(F.zip_with("tokens", "takes", lambda t, k: t["critical"] & (k == 0)), lambda x: x))
     rows = rows.withColumn("taken", taken).withColumn("loss", loss).withColumn("positional", F.col("taken") * INITIAL + (F.length("acronym") - F.col("taken")) * CONTIGUOUS)
     value = weights.delta * F.col("loss") - weights.alpha * F.col("positional")
     key = F.struct(value.alias("v"), (-F.col("taken")).alias("t"), F.col("loss"), F.transform("takes", lambda k: -k).alias("k"))
-    return rows.groupBy("id", "acronym").agg(F.min_by(F.struct("positional", "loss", "taken"), key).alias("b")).select("id", "acronym", "b.positional", "b.loss", "b.taken")
+    best = rows.groupBy("id", "acronym").agg(F.min_by(F.struct("positional", "loss", "taken", "takes", "size"), key).alias("b"))
+    return best.select("id", "acronym", "b.positional", "b.loss", "b.taken", "b.takes", F.least("b.size", F.lit(float(NODES))).cast("long").alias("evaluated"), (F.col("b.size") > NODES).alias("truncated"))
 
 
-def with_scores(rows: DataFrame, weights: Weights, model: Column, low: float, lexicon: DataFrame) -> DataFrame:
-    """rows (id, acronym, positional, loss, ...) with phi, lexical and score."""
+def with_scores(rows: DataFrame, weights: Weights, model: BigramModel, lexicon: DataFrame) -> DataFrame:
+    """rows (id, acronym, positional, loss, ...) with phi, lexical and score.  Sounds are worked out once for each acronym."""
     words = lexicon.select(F.col("word").alias("_w"), F.lit(1.0).alias("_hit"))
-    rows = rows.join(words, F.lower("acronym") == F.col("_w"), "left").withColumn("lexical", F.coalesce("_hit", F.lit(0.0))).drop("_w", "_hit")
-    rows = rows.withColumn("phi", phi(F.col("acronym"), model, low))
+    known = rows.select("acronym").distinct().withColumn("phi", phi(F.col("acronym"), model))
+    known = known.join(words, F.lower("acronym") == F.col("_w"), "left").select("acronym", "phi", F.coalesce("_hit", F.lit(0.0)).alias("lexical"))
     over = F.greatest(F.length("acronym") - weights.preferred_length, F.lit(0))
-    return rows.withColumn("score", weights.alpha * F.col("positional") + weights.beta * F.col("phi") + weights.gamma * F.col("lexical") - weights.delta * F.col("loss") - weights.length_penalty * over)
+    return rows.join(known, "acronym").withColumn("score", weights.alpha * F.col("positional") + weights.beta * F.col("phi") + weights.gamma * F.col("lexical") - weights.delta * F.col("loss") - weights.length_penalty * over)
+
+
+def filtered(rows: DataFrame, vowel: bool = False, word: bool = False) -> DataFrame:
+    """Scored rows that have a vowel, and that are words of the lexicon."""
+    if vowel:
+        rows = rows.where(has_vowel(F.col("acronym")))
+    return rows.where("lexical >= 1") if word else rows
 
 
 def ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
@@ -137,9 +171,107 @@ def ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.where(F.col("rank") <= limit) if limit else rows
 
 
-def plain_initialism(tokens: Column, longest: int = 10) -> Column:
-    """First letters of all tokens while they fit."""
-    return F.aggregate(tokens, F.lit(""), lambda a, t: F.when(F.length(a) < longest, F.concat(a, F.substring(t["letters"], 1, 1))).otherwise(a))
+def limited(rows: DataFrame, plain: DataFrame, limit: int) -> DataFrame:
+    """Ranked rows up to a limit; with a limit over one, the last place goes to the plain initialism (id, acronym) if it ranks below."""
+    kept = rows.where(F.col("rank") <= limit)
+    if limit < 2:
+        return kept
+    late = rows.join(plain.select("id", "acronym"), ["id", "acronym"], "left_semi").where(F.col("rank") > limit).select("id", F.struct(*rows.columns).alias("late"))
+    both = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*rows.columns).alias("row")))).alias("rows")).join(late, "id", "left")  # at most `limit` a phrase
+    rows_ = F.transform("rows", lambda x: x["row"])
+    chosen = F.when(F.col("late").isNull(), rows_).otherwise(F.concat(F.slice(rows_, 1, limit - 1), F.array("late")))
+    return both.select(F.posexplode(chosen).alias("place", "r")).select("r.*", "place").withColumn("rank", F.col("place") + 1).drop("place").select(*rows.columns)
+
+
+def plain_state(tokens: Column, longest: int = 6) -> Column:
+    """struct(chars, takes): the first letter of each token, an atomic one whole, while they fit; what does not is skipped."""
+    start = F.struct(F.lit("").alias("chars"), F.array().cast("array<int>").alias("takes"))
+
+    def step(a: Column, t: Column) -> Column:
+        piece = F.when(t["atomic"], t["letters"]).otherwise(F.substring(t["letters"], 1, 1))
+        fits = F.length(a["chars"]) + F.length(piece) <= longest
+        return F.struct(F.when(fits, F.concat(a["chars"], piece)).otherwise(a["chars"]).alias("chars"), F.concat(a["takes"], F.array(F.when(fits, F.length(piece)).otherwise(F.lit(0)))).alias("takes"))
+
+    return F.aggregate(tokens, start, step)
+
+
+def plain_initialism(phrases: DataFrame, longest: int = 6) -> DataFrame:
+    """(id, acronym) of (id, tokens)."""
+    return _atomic(phrases).select("id", plain_state(F.col("tokens"), longest)["chars"].alias("acronym"))
+
+
+def assignments(takes: Column) -> Column:
+    """array<struct(token_index, char_offset)> of the letters that tokens lend."""
+    return F.flatten(F.transform(takes, lambda k, i: F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.struct(i.alias("token_index"), o.alias("char_offset")))).otherwise(F.array().cast("array<struct<token_index:int,char_offset:int>>"))))
+
+
+def mappings(acronym: Column, assigned: Column) -> Column:
+    """array<struct(character, position, token_index, char_offset, kind, weight)> of one assignment a letter.
+
+    Without a token: unmapped; at offset 0: initial; right after the letter before on the same token:
+    contiguous; else internal.  An unmapped letter breaks a contiguous run.
+    """
+
+    def one(x: Column, i: Column) -> Column:
+        last = F.when(i > 0, F.get(assigned, i - 1))
+        runs = (last["token_index"] == x["token_index"]) & (x["char_offset"] == last["char_offset"] + 1)
+        kind = F.when(x["token_index"].isNull(), "unmapped").when(x["char_offset"] == 0, "initial").when(runs, "contiguous").otherwise("internal")
+        weight = F.when(kind == "initial", INITIAL).when(kind == "contiguous", CONTIGUOUS).when(kind == "internal", INTERNAL).otherwise(0.0)
+        return F.struct(F.substr(acronym, i + 1, F.lit(1)).alias("character"), i.alias("position"), x["token_index"].alias("token_index"), x["char_offset"].alias("char_offset"), kind.alias("kind"), weight.alias("weight"))
+
+    return F.transform(assigned, one)
+
+
+def positional(mapped: Column) -> Column:
+    """The weights of the mappings, less a penalty for each unmapped letter."""
+    return F.aggregate(mapped, F.lit(0.0), lambda a, m: a + m["weight"] - F.when(m["kind"] == "unmapped", UNMAPPED).otherwise(0.0))
+
+
+def phrases_of(tokenized: DataFrame) -> DataFrame:
+    """(id, tokens) for candidates() of tokenize()'s rows: eligible tokens, acronyms atomic, in order.
+
+    `index` is the token's place in the text.  Phrases without eligible tokens have an empty array.
+    """
+    kept = F.filter("tokens", lambda t: t["eligible"] & (t["letters"] != ""))
+    return tokenized.select("id", "text", F.size("tokens").alias("n_tokens"), F.transform(kept, lambda t: F.struct(t["text"].alias("text"), t["letters"].alias("letters"), t["critical"].alias("critical"), (t["role"] == "acronym").alias("atomic"), t["index"].alias("index"))).alias("tokens"))
+
+
+@dataclass(frozen=True)
+class Search:
+    """The shape of a search; each phrase returns `limit` candidates."""
+
+    cap: int = 2
+    shortest: int = 2
+    longest: int = 6
+    limit: int = 25
+    skipping: bool = True
+    vowel: bool = False
+    word: bool = False
+
+
+def generate(tokenized: DataFrame, weights: Weights, model: BigramModel, lexicon: DataFrame, search: Search = Search()) -> DataFrame:
+    """(id, ok, error_type, error, evaluated, truncated, candidates): one row for each row of tokenize(), none lost.
+
+    A candidate has acronym, score, rank, is_word, pronounceability, phi, mappings, covered and skipped token
+    indexes.  error_type is empty_phrase (no token), no_candidate (no eligible token, or all were filtered).
+    """
+    phrases = phrases_of(tokenized)
+    some = phrases.where(F.size("tokens") > 0).select("id", "tokens")
+    found = candidates(some, weights, search.cap, search.shortest, search.longest, search.skipping)
+    rows = ranked(filtered(with_scores(found, weights, model, lexicon), search.vowel, search.word))
+    rows = limited(rows, plain_initialism(some, search.longest), search.limit).join(some, "id")
+    place = F.transform(assignments(F.col("takes")), lambda x: F.struct(F.get(F.col("tokens"), x["token_index"])["index"].alias("token_index"), x["char_offset"].alias("char_offset")))
+    covered = F.transform(F.filter(F.zip_with("tokens", "takes", lambda t, k: F.struct(t["index"].alias("i"), k.alias("k"))), lambda x: x["k"] > 0), lambda x: x["i"])
+    rows = rows.withColumn("covered", covered).withColumn("skipped", F.array_except(F.transform("tokens", lambda t: t["index"]), "covered"))
+    one = F.struct("rank", "acronym", "score", (F.col("lexical") >= 1).alias("is_word"), pronounceability(F.col("acronym"), model).alias("pronounceability"), "phi", mappings(F.col("acronym"), place).alias("mappings"), "covered", "skipped")
+    per = rows.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("candidates"), F.max("evaluated").alias("evaluated"), F.bool_or("truncated").alias("truncated"))
+    out = phrases.join(per, "id", "left")
+    failed = F.col("candidates").isNull()
+    kind = F.when(F.col("n_tokens") == 0, "empty_phrase").when(failed, "no_candidate")
+    reasons = [f"no acronym of length {search.shortest}-{search.longest}"]
+    reasons += ["a dictionary word is required"] * search.word + ["a vowel is required"] * search.vowel + ["no token may be skipped"] * (not search.skipping)
+    why = F.when(F.col("n_tokens") == 0, "the phrase has no tokens").when(F.size("tokens") == 0, "no eligible tokens").when(failed, "; ".join(reasons))
+    return out.select("id", (~failed).alias("ok"), kind.alias("error_type"), why.alias("error"), F.coalesce("evaluated", F.lit(0)).alias("evaluated"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "candidates")
 
 
 def explain(w: Weights) -> Column:

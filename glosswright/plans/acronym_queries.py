@@ -12,6 +12,7 @@ from ..operators import evaluate as ev
 from ..operators import extract as ex
 from ..operators import generate as gen
 from ..operators import reliability as rel
+from ..operators import tokenize as tk
 from ..operators.vocabulary import literal
 from .text_queries import MODEL, _docs, _lexicon, _model
 
@@ -53,14 +54,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9)
 STRICT = gen.PRESETS["strict_initialism"]
 
 
-def _scored(spark, sf, weights=STRICT):
-    m, low, lex = _model(spark, sf)
-    return gen.with_scores(gen.candidates(_phrases(spark, sf), weights), weights, m, low, lex)
+def _scored(spark, sf, weights=STRICT, model=None):
+    m, lex = model or _model(spark, sf)
+    return gen.with_scores(gen.candidates(_phrases(spark, sf), weights), weights, m, lex)
 
 
 @query(f"WITH {PH} SELECT id, upper(w[1][1] || w[2][1] || w[3][1]) AS acronym FROM ph")
 def plain_initialism(spark, sf):
-    return _phrases(spark, sf).select("id", gen.plain_initialism(F.col("tokens")).alias("acronym"))
+    return gen.plain_initialism(_phrases(spark, sf))
 
 
 @query(f"WITH {cand_sql(STRICT)} SELECT id, acronym, pos_gain AS \"positional\", loss, round(phi, 5) AS phi, lexical, round(score, 5) AS score FROM scored")
@@ -76,15 +77,15 @@ def generate_topk(spark, sf):
 
 @query(f"WITH {cand_sql(STRICT)} SELECT id, acronym, rank FROM ranked JOIN ph USING (id) WHERE acronym = upper(w[1][1] || w[2][1] || w[3][1])")
 def score_initialism(spark, sf):
-    plain = _phrases(spark, sf).select("id", gen.plain_initialism(F.col("tokens")).alias("acronym"))
+    plain = gen.plain_initialism(_phrases(spark, sf))
     return gen.ranked(_scored(spark, sf)).join(plain, ["id", "acronym"], "left_semi").select("id", "acronym", "rank")
 
 
 @query(" UNION ALL ".join(f"(SELECT '{n}' AS preset, id, acronym FROM (WITH {cand_sql(w)} SELECT id, acronym FROM ranked WHERE rank = 1))" for n, w in gen.PRESETS.items()))
 def presets_contrast(spark, sf):
-    out = None
+    out, model = None, _model(spark, sf)
     for n, w in gen.PRESETS.items():
-        rows = gen.ranked(_scored(spark, sf, w), 1).select(F.lit(n).alias("preset"), "id", "acronym")
+        rows = gen.ranked(_scored(spark, sf, w, model), 1).select(F.lit(n).alias("preset"), "id", "acronym")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -97,24 +98,71 @@ def recall_at_k(spark, sf):
 
 
 #: Well-known initialisms.
-CANONICAL = [("Portable Document Format", "PDF"), ("Central Processing Unit", "CPU"), ("World Health Organization", "WHO"), ("Automated Teller Machine", "ATM"), ("Random Access Memory", "RAM"), ("Global Positioning System", "GPS"), ("Graphical User Interface", "GUI"), ("Magnetic Resonance Imaging", "MRI")]
-
-
-@query()
+CANONICAL = [
+    ("Application Programming Interface", "API"),
+    ("Portable Document Format", "PDF"),
+    ("National Aeronautics and Space Administration", "NASA"),
+    ("Hyper Text Markup Language", "HTML"),
+    ("Random Access Memory", "RAM"),
+    ("Central Processing Unit", "CPU"),
+    ("Graphics Processing Unit", "GPU"),
+    ("Self Contained Underwater Breathing Apparatus", "SCUBA"),
+    ("Light Amplification by Stimulated Emission of Radiation", "LASER"),
+    ("Structured Query Language", "SQL"),
+    ("Customer Relationship Management", "CRM"),
+    ("Quality Assurance", "QA"),
+    ("Transmission Control Protocol", "TCP"),
+    ("Simple Object Access Protocol", "SOAP"),
+    ("Basic Input Output System", "BIOS"),
+    ("Read Only Memory", "ROM"),
+]
+
+
+def _canonical(spark):
+    return literal(spark, [(i, p, a) for i, (p, a) in enumerate(CANONICAL)], "id int, phrase string, expected string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}', '{a}', '{a}', true)" for i, (p, a) in enumerate(CANONICAL)) + ") AS t(id, phrase, expected, acronym, hit)")
 def generate_canonical(spark, sf):
-    rows = literal(spark, [(i, p, a) for i, (p, a) in enumerate(CANONICAL)], "id int, phrase string, expected string")
-    phrases = rows.select("id", F.transform(F.split("phrase", " "), lambda w: F.struct(w.alias("text"), F.upper(w).alias("letters"), F.lit(True).alias("critical"))).alias("tokens"))
-    m, low, lex = _model(spark, sf)
-    top = gen.ranked(gen.with_scores(gen.candidates(phrases, STRICT, cap=1), STRICT, m, low, lex), 1)
-    return rows.join(top, "id").select("id", "phrase", "expected", "acronym", (F.col("acronym") == F.col("expected")).alias("hit"))
+    rows = _canonical(spark)
+    m, lex = _model(spark, sf)
+    found = gen.generate(tk.tokenize(rows, text_column="phrase"), STRICT, m, lex)
+    return rows.join(found, "id").select("id", "phrase", "expected", F.col("candidates")[0]["acronym"].alias("acronym"), (F.col("candidates")[0]["acronym"] == F.col("expected")).alias("hit"))
 
 
-@query()
+@query(f"WITH {cand_sql(STRICT)} SELECT id, acronym, printf('%.1f*1 + %.3f*0' || '.25 + %.0f*2 - %d*25 - 8*%d = %.3f', pos_gain, phi, lexical, loss, greatest(length(acronym) - 2, 0), score) AS explanation FROM ranked WHERE rank = 1")
 def score_breakdown(spark, sf):
     top = gen.ranked(_scored(spark, sf), 1)
     return top.select("id", "acronym", gen.explain(STRICT).alias("explanation"))
 
 
+@query(f"WITH {cand_sql(STRICT)} SELECT id, count(*) AS candidates, 39 AS evaluated, false AS truncated, first(acronym ORDER BY rank) AS best FROM ranked WHERE rank <= 25 GROUP BY id")
+def search_report(spark, sf):
+    rows = gen.ranked(_scored(spark, sf), 25)
+    return rows.groupBy("id").agg(F.count("*").alias("candidates"), F.max("evaluated").cast("int").alias("evaluated"), F.bool_or("truncated").alias("truncated"), F.min_by("acronym", "rank").alias("best"))
+
+
+@query(f"WITH {cand_sql(STRICT)}, v AS (SELECT id, acronym, lexical, score FROM scored WHERE regexp_matches(lower(acronym), '[aeiouy]')) SELECT id, count(*) AS with_vowel, count(*) FILTER (lexical = 1) AS words FROM v GROUP BY id")
+def hard_filters(spark, sf):
+    rows = gen.filtered(_scored(spark, sf), vowel=True)
+    return rows.groupBy("id").agg(F.count("*").alias("with_vowel"), F.count(F.when(F.col("lexical") == 1, 1)).alias("words"))
+
+
+@query(f"WITH {cand_sql(STRICT)}, p AS (SELECT id, upper(w[1][1] || w[2][1] || w[3][1]) AS acronym FROM ph), q AS (SELECT r.id, r.acronym, r.rank, p.id IS NOT NULL AS plain FROM ranked r LEFT JOIN p ON p.id = r.id AND p.acronym = r.acronym) SELECT id, least(rank, 2) AS rank, acronym FROM q WHERE rank = 1 OR (rank = 2 AND id NOT IN (SELECT id FROM q WHERE plain AND rank > 2)) OR (plain AND rank > 2)")
+def reserved_initialism(spark, sf):
+    rows = gen.ranked(_scored(spark, sf, gen.PRESETS["strict_initialism"])).select("id", "rank", "acronym")
+    return gen.limited(rows, gen.plain_initialism(_phrases(spark, sf)), 2)
+
+
+@query(f"""WITH {cand_sql(STRICT)}, t AS (SELECT id, acronym, k FROM (SELECT s.id, s.acronym, first(s.k ORDER BY {STRICT.delta} * s.loss - {STRICT.alpha} * s.pos_gain, -s.taken, s.loss, s.k) AS k FROM sc s JOIN ranked r ON r.id = s.id AND r.acronym = s.acronym AND r.rank <= 3 GROUP BY ALL)),
+e AS (SELECT id, acronym, unnest([0, 1, 2]) AS token, -unnest(k) AS n FROM t), l AS (SELECT id, acronym, token, unnest(range(0, n)) AS o FROM e)
+SELECT id, acronym, string_agg(token || ':' || CASE WHEN o = 0 THEN 'initial' ELSE 'contiguous' END, ' ' ORDER BY token, o) AS kinds FROM l GROUP BY ALL""")
+def letter_mappings(spark, sf):
+    rows = gen.ranked(_scored(spark, sf), 3)
+    kinds = F.transform(gen.mappings(F.col("acronym"), gen.assignments(F.col("takes"))), lambda m: F.concat(m["token_index"].cast("string"), F.lit(":"), m["kind"]))
+    return rows.select("id", "acronym", F.array_join(kinds, " ").alias("kinds"))
+
+
 LEXB = "bk AS (SELECT word, upper(word[1]) AS letter, row_number() OVER (PARTITION BY upper(word[1]) ORDER BY (length(word) NOT BETWEEN 3 AND 12)::INT, length(word), word) - 1 AS number, count(*) OVER (PARTITION BY upper(word[1])) AS size FROM lex)"
 
 

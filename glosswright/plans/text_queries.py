@@ -119,8 +119,9 @@ def _lexicon(spark, sf):
 
 
 def _model(spark, sf):
+    """(model, lexicon): one pass over the texts trains, another looks words up."""
     lex = _lexicon(spark, sf)
-    return ph.literal_model(ph.model_map(ph.train_bigrams(lex))), ph.backoff(lex), lex
+    return ph.fit_bigrams(lex), lex
 
 
 @query(f'WITH {MODEL} SELECT prev, nxt AS "next", round(log_prob, 6) AS log_prob FROM bg')
@@ -130,8 +131,8 @@ def train_bigrams(spark, sf):
 
 @query(f"WITH {MODEL} SELECT word, round(CASE WHEN length(word) < 2 THEN max(low) ELSE sum(coalesce(log_prob, low)) / (length(word) - 1) END, 6) AS phi FROM lex CROSS JOIN bo LEFT JOIN unnest(range(1, length(word))) AS r(i) ON true LEFT JOIN bg ON prev = word[i] AND nxt = word[i + 1] GROUP BY word")
 def phi_score(spark, sf):
-    m, low, lex = _model(spark, sf)
-    return lex.select("word", F.round(ph.phi(F.col("word"), m, low), 6).alias("phi"))
+    m, lex = _model(spark, sf)
+    return lex.select("word", F.round(ph.phi(F.col("word"), m), 6).alias("phi"))
 
 
 @query(
@@ -139,8 +140,19 @@ def phi_score(spark, sf):
 SELECT word, round(least(greatest((m - low) / -low, 0.0), 1.0) * CASE WHEN regexp_matches(word, '[aeiouy]') THEN 1.0 ELSE 0.35 END * CASE WHEN regexp_matches(word, '[b-df-hj-np-tv-xz]{{4}}') THEN 0.6 ELSE 1.0 END, 6) AS pronounceability FROM b"""
 )
 def pronounceability(spark, sf):
-    m, low, lex = _model(spark, sf)
-    return lex.select("word", F.round(ph.pronounceability(F.col("word"), m, low), 6).alias("pronounceability"))
+    m, lex = _model(spark, sf)
+    return lex.select("word", F.round(ph.pronounceability(F.col("word"), m), 6).alias("pronounceability"))
+
+
+@query(f"WITH {MODEL}, f AS (SELECT word, '^' || word || '$' AS f FROM lex) SELECT word, round(sum(coalesce(log_prob, low)) / (length(word) + 1), 6) AS phi FROM f CROSS JOIN bo, unnest(range(1, length(f))) AS r(i) LEFT JOIN bg ON prev = f[i] AND nxt = f[i + 1] GROUP BY word")
+def phi_with_boundaries(spark, sf):
+    m, lex = _model(spark, sf)
+    return lex.select("word", F.round(ph.phi_framed(F.col("word"), m), 6).alias("phi"))
+
+
+@query(f"WITH {LEX} SELECT word, round(0.5 * CASE WHEN regexp_matches(word, '[aeiouy]') THEN 1.0 ELSE 0.35 END * CASE WHEN regexp_matches(word, '[b-df-hj-np-tv-xz]{{4}}') THEN 0.6 ELSE 1.0 END, 6) AS pronounceability FROM lex")
+def neutral_pronounceability(spark, sf):
+    return _lexicon(spark, sf).select("word", F.round(ph.pronounceability(F.col("word"), ph.uniform_model()), 6).alias("pronounceability"))
 
 
 @query(f"WITH {LEX} SELECT word, greatest(len(regexp_extract_all(word, '[aeiouy]+')) - (regexp_matches(word, '[^aeiouy]e$') AND NOT word LIKE '%le' AND length(word) > 2)::INT, 1) AS syllables, round(length(regexp_replace(word, '[^aeiouy]', '', 'g')) / length(word), 6) AS vowel_ratio, coalesce(list_max(list_transform(regexp_extract_all(word, '[b-df-hj-np-tv-xz]+'), lambda x: length(x))), 0) AS consonant_run FROM lex")

@@ -42,9 +42,4 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_without_sql_runs(spark, name):
-    assert plans.queries()[name](spark, DATA).columns
-
-
-def test_canonical_initialisms(spark):
-    rows = plans.queries()["generate_canonical"](spark, DATA).collect()
-    assert len(rows) == 8 and all(r["hit"] for r in rows)
+    assert plans.queries()[name](spark, DATA).collect()
