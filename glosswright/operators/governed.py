@@ -17,10 +17,14 @@ DEFAULT_CLASS_WORD = "VAL"
 JOINABLE = 10_000
 
 
-def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(id, identifier, pos, token); with a vocabulary, digits join the next token when it knows the two as one."""
+def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None, empty: bool = False) -> DataFrame:
+    """(id, identifier, pos, token); with a vocabulary, digits join the next token when it knows the two as one.
+
+    With `empty`, a name without tokens has one row of nulls.
+    """
+    explode = F.posexplode_outer if empty else F.posexplode
     parts = split_identifier(F.col("identifier"))
-    rows = ids.select("id", "identifier", F.posexplode(parts).alias("pos", "token"))
+    rows = ids.select("id", "identifier", explode(parts).alias("pos", "token"))
     if vocabulary is None:
         return rows
     known = vocabulary.catalog.select("token").union(vocabulary.overlay.select("token")).union(vocabulary.allow.select("token")).where(F.col("token").rlike(r"^\d+\p{L}")).distinct()
@@ -42,7 +46,7 @@ def tokens_of(ids: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame
         joined = F.concat(F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0))), F.array(F.concat(last, t)))
         return F.when(joins, joined).otherwise(F.concat(state, F.array(t)))
 
-    return ids.select("id", "identifier", F.posexplode(F.aggregate(parts, F.array().cast("array<string>"), step)).alias("pos", "token"))
+    return ids.select("id", "identifier", explode(F.aggregate(parts, F.array().cast("array<string>"), step)).alias("pos", "token"))
 
 
 def expand_tokens(tokens: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
@@ -69,23 +73,33 @@ def expand_tokens(tokens: DataFrame, vocabulary: Vocabulary, policy: Policy) ->
     )
 
 
+def _names(rows: DataFrame, *columns: str) -> DataFrame:
+    """(id, identifier, t): the tokens of each name as an array in order, put together by one shuffle."""
+    token = F.when(F.col("token").isNotNull(), F.struct("pos", *columns))
+    return rows.groupBy("id", "identifier").agg(F.array_sort(F.collect_list(token)).alias("t"))
+
+
+def _expansion(t: Column) -> list[Column]:
+    odd = F.array_join(unaccounted(F.col("identifier")), "")
+    return [
+        F.array_join(F.transform(t, lambda x: x["long"]), " ").alias("logical_name"),
+        (F.forall(t, lambda x: x["is_known"]) & (odd == "")).alias("fully_known"),
+        F.coalesce(F.array_min(F.transform(t, lambda x: x["confidence"])), F.lit(0.0)).alias("confidence"),
+        F.try_element_at(t, F.lit(-1))["class_word"].alias("class_word"),
+        F.size(t).cast("long").alias("n_tokens"),
+        odd.alias("unaccounted"),
+    ]
+
+
 def expand_identifiers(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
     """(id, identifier, logical_name, fully_known, confidence, class_word, n_tokens, unaccounted)."""
-    rows = expand_tokens(tokens_of(ids, vocabulary), vocabulary, policy)
-    per = rows.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "long"))), lambda x: x["long"]), " ").alias("logical_name"),
-        F.bool_and("is_known").alias("known"),
-        F.min("confidence").alias("confidence"),
-        F.max_by("class_word", "pos").alias("class_word"),
-        F.count("*").alias("n_tokens"),
-    )
-    odd = F.array_join(unaccounted(F.col("identifier")), "")
-    return ids.join(per, "id", "left").select("id", "identifier", F.coalesce("logical_name", F.lit("")).alias("logical_name"), (F.coalesce("known", F.lit(True)) & (odd == "")).alias("fully_known"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "class_word", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), odd.alias("unaccounted"))
+    rows = expand_tokens(tokens_of(ids, vocabulary, empty=True), vocabulary, policy)
+    return _names(rows, "long", "is_known", "confidence", "class_word").select("id", "identifier", *_expansion(F.col("t")))
 
 
 def _judged(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
     """Tokens with verdict, code and fix; tokens without a letter have no code."""
-    rows = expand_tokens(tokens_of(ids, vocabulary), vocabulary, policy).withColumn("upper", F.upper("token"))
+    rows = expand_tokens(tokens_of(ids, vocabulary, empty=True), vocabulary, policy).withColumn("upper", F.upper("token"))
     rank = F.expr("case list when 'approved_abbreviations' then 0 when 'common_keywords' then 1 else 2 end")
     lists = vocabulary.small(vocabulary.allow.groupBy("token").agg(F.min(rank).alias("listed")).withColumnRenamed("token", "upper"), "lists")
     approved = vocabulary.small(vocabulary.approved().select(F.col("token").alias("upper"), F.lit(True).alias("approved")), "approved")
@@ -106,7 +120,13 @@ def _judged(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame
     )
     failed = code == "unapproved_abbrev"
     fix = F.when(failed & F.col("is_known") & (F.col("short") != F.col("upper")), F.col("short"))
-    return rows.select("id", "identifier", "pos", "token", "upper", code.alias("code"), fix.alias("fix"), "class_word")
+    return rows.select("id", "identifier", "pos", "token", "upper", "long", "is_known", "confidence", code.alias("code"), fix.alias("fix"), "class_word")
+
+
+def _judged_names(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
+    """(id, identifier, t, findings): each name with all that the verbs say of its tokens and of itself."""
+    names = _names(_judged(ids, vocabulary, policy), "token", "upper", "long", "is_known", "confidence", "code", "fix", "class_word")
+    return names.withColumn("findings", _findings(F.col("t"), policy, _has_default(vocabulary)))
 
 
 def _has_default(vocabulary: Vocabulary) -> bool:
@@ -114,46 +134,48 @@ def _has_default(vocabulary: Vocabulary) -> bool:
     return bool(words.where(F.col("token") == DEFAULT_CLASS_WORD).limit(1).count())
 
 
-def compliance_findings(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
-    """(id, seq, token, verdict, code, fix): one finding for each token, then those on the whole name."""
-    judged = _judged(ids, vocabulary, policy)
-    of_tokens = judged.where("code is not null").select("id", F.col("pos").alias("seq"), "token", F.when(F.col("code") == "unapproved_abbrev", "fail").otherwise("pass").alias("verdict"), "code", "fix")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "upper", F.coalesce("fix", "upper").alias("word"))))
-    names = judged.groupBy("id").agg(ordered.alias("t"), F.max_by("class_word", "pos").alias("class_word"))
-    names = ids.join(names, "id", "left").withColumn("n", F.coalesce(F.size("t"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0)))
-    upper = F.array_join(F.transform("t", lambda x: x["upper"]), "_")
-    fixed = F.array_join(F.transform("t", lambda x: x["word"]), "_")
-    has_default = _has_default(vocabulary)
-    over = F.length("identifier") > policy.max_name_length
+def _findings(t: Column, policy: Policy, has_default: bool) -> Column:
+    """array<struct(seq, token, verdict, code, fix)>: one finding for each token with a letter, then those on the name."""
     nothing = F.lit(None).cast("string")
+    of_tokens = F.transform(F.filter(t, lambda x: x["code"].isNotNull()), lambda x: F.struct(x["pos"].alias("seq"), x["token"].alias("token"), F.when(x["code"] == "unapproved_abbrev", "fail").otherwise("pass").alias("verdict"), x["code"].alias("code"), x["fix"].alias("fix")))
+    upper = F.array_join(F.transform(t, lambda x: x["upper"]), "_")
+    fixed = F.array_join(F.transform(t, lambda x: F.coalesce(x["fix"], x["upper"])), "_")
+    some, over = F.size(t) > 0, F.length("identifier") > policy.max_name_length
 
     def finding(condition, seq, code, fix):
-        return F.when(condition, F.struct(F.lit(seq).alias("seq"), F.lit(code).alias("code"), fix.alias("fix")))
-
-    found = F.array_compact(
-        F.array(
-            finding(F.col("n") == 0, 0, "empty_name", nothing),
-            finding((F.col("n") > 0) & ~is_upper_snake(F.col("identifier")), 1_000_000, "not_upper_snake", upper),
-            finding((F.col("n") > 0) & F.lit(policy.require_trailing_class_word) & F.col("class_word").isNull(), 1_000_001, "missing_class_word", F.concat(upper, F.lit("_" + DEFAULT_CLASS_WORD)) if has_default else nothing),
-            finding((F.col("n") > 0) & F.lit(policy.enforce_name_length) & over, 1_000_002, "exceeds_max_length", F.when((fixed != F.col("identifier")) & (F.length(fixed) <= policy.max_name_length), fixed)),
-        )
+        return F.when(condition, F.struct(F.lit(seq).alias("seq"), nothing.alias("token"), F.lit("fail").alias("verdict"), F.lit(code).alias("code"), fix.alias("fix")))
+
+    of_name = F.array(
+        finding(~some, 0, "empty_name", nothing),
+        finding(some & ~is_upper_snake(F.col("identifier")), 1_000_000, "not_upper_snake", upper),
+        finding(some & F.lit(policy.require_trailing_class_word) & F.try_element_at(t, F.lit(-1))["class_word"].isNull(), 1_000_001, "missing_class_word", F.concat(upper, F.lit("_" + DEFAULT_CLASS_WORD)) if has_default else nothing),
+        finding(some & F.lit(policy.enforce_name_length) & over, 1_000_002, "exceeds_max_length", F.when((fixed != F.col("identifier")) & (F.length(fixed) <= policy.max_name_length), fixed)),
     )
-    of_names = names.select("id", F.explode(found).alias("f")).select("id", "f.seq", F.lit(None).cast("string").alias("token"), F.lit("fail").alias("verdict"), "f.code", "f.fix")
-    return of_tokens.unionByName(of_names)
+    return F.concat(of_tokens, F.array_compact(of_name))
+
+
+def compliance_findings(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
+    """(id, seq, token, verdict, code, fix): one finding for each token, then those on the whole name."""
+    return _judged_names(ids, vocabulary, policy).select("id", F.explode("findings").alias("f")).select("id", "f.*")
+
+
+def _failures() -> Column:
+    return F.size(F.filter("findings", lambda f: f["verdict"] == "fail")).cast("long")
 
 
 def compliance_summary(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
     """(id, compliant, n_findings, n_failures)."""
-    fails = F.sum(F.when(F.col("verdict") == "fail", 1).otherwise(0))
-    per = compliance_findings(ids, vocabulary, policy).groupBy("id").agg(F.count("*").alias("n_findings"), fails.alias("n_failures"))
-    return ids.select("id").join(per, "id", "left").select("id", (F.coalesce("n_failures", F.lit(0)) == 0).alias("compliant"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_failures", F.lit(0)).alias("n_failures"))
+    return _judged_names(ids, vocabulary, policy).select("id", (_failures() == 0).alias("compliant"), F.size("findings").cast("long").alias("n_findings"), _failures().alias("n_failures"))
+
+
+def _normalized() -> Column:
+    return F.array_join(F.transform("t", lambda x: F.coalesce(x["fix"], x["upper"])), "_")
 
 
 def normalize(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
     """(id, identifier, normalized): tokens in capitals, those with an approved form replaced by it."""
-    word = F.coalesce("fix", "upper")
-    per = _judged(ids, vocabulary, policy).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]), "_").alias("normalized"))
-    return ids.join(per, "id", "left").select("id", "identifier", F.coalesce("normalized", F.lit("")).alias("normalized"))
+    names = _names(_judged(ids, vocabulary, policy), "upper", "fix")
+    return names.select("id", "identifier", _normalized().alias("normalized"))
 
 
 def to_physical(names: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
@@ -210,42 +232,61 @@ class Audit:
         self.names = identifiers.groupBy(name.alias("identifier")).agg(F.count("*").alias("occurrences"), F.min("id").alias("id"))
         self.ids = self.names.select("id", "identifier")
 
+    def observed(self) -> DataFrame:
+        """Each distinct name once, with its occurrences and all that the verbs say of it; one pass over the tokens."""
+        return _judged_names(self.names.select("id", "identifier"), self.vocabulary, self.policy).join(self.names, ["id", "identifier"])
+
     def summary(self) -> DataFrame:
-        expanded = expand_identifiers(self.ids, self.vocabulary, self.policy)
-        checked = compliance_summary(self.ids, self.vocabulary, self.policy)
-        rows = self.names.join(expanded.drop("identifier"), "id").join(checked, "id")
+        rows = self.observed().select("occurrences", *_expansion(F.col("t")), F.exists("t", lambda x: x["is_known"]).alias("some"), (_failures() == 0).alias("compliant"))
 
         def weigh(condition, name):
             return F.sum(F.when(condition, F.col("occurrences")).otherwise(0)).alias(name)
 
-        some = expand_tokens(tokens_of(self.ids, self.vocabulary), self.vocabulary, self.policy).groupBy("id").agg(F.bool_or("is_known").alias("some"))
-        rows = rows.join(some, "id", "left")
-        return rows.agg(F.sum("occurrences").alias("identifiers"), F.count("*").alias("distinct_identifiers"), weigh(F.col("n_tokens") == 0, "empty"), weigh(F.col("fully_known"), "fully_known"), weigh(~F.col("fully_known") & F.coalesce("some", F.lit(False)), "partially_known"), weigh(F.col("compliant"), "compliant"))
+        return rows.agg(F.sum("occurrences").alias("identifiers"), F.count("*").alias("distinct_identifiers"), weigh(F.col("n_tokens") == 0, "empty"), weigh(F.col("fully_known"), "fully_known"), weigh(~F.col("fully_known") & F.col("some"), "partially_known"), weigh(F.col("compliant"), "compliant"))
+
+    def _unknown(self) -> DataFrame:
+        """(token, id, identifier, occurrences, k): unknown tokens of each distinct name, k times in it."""
+        rows = expand_tokens(tokens_of(self.ids, self.vocabulary), self.vocabulary, self.policy).where("not is_known")
+        return rows.groupBy(F.upper("token").alias("token"), "id", "identifier").agg(F.count("*").alias("k")).join(self.names.select("id", "occurrences"), "id")
 
     def backlog(self) -> DataFrame:
-        """(token, occurrences, identifier_rows, examples): unknown tokens; those without a letter are left out."""
-        rows = expand_tokens(tokens_of(self.ids, self.vocabulary), self.vocabulary, self.policy).where("not is_known").where(F.col("token").rlike(r"\p{L}"))
-        per = rows.join(self.names.select("id", "occurrences"), "id").groupBy(F.upper("token").alias("token"), "id", "identifier", "occurrences").agg(F.count("*").alias("k"))
+        """(token, occurrences, identifier_rows, examples): unknown tokens; those without a letter are left out.
+
+        Tasks combine sums and their first few examples before the shuffle, so a token that most names hold is no burden.
+        """
+        rows = self._unknown().where(F.col("token").rlike(r"\p{L}"))
+        sums = rows.groupBy("token").agg(F.sum(F.col("k") * F.col("occurrences")).alias("occurrences"), F.sum("occurrences").alias("identifier_rows"))
+        part = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+        order = Window.partitionBy("token", "part").orderBy("id")
+        near = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= self.examples)
         order = Window.partitionBy("token").orderBy("id")
-        per = per.withColumn("r", F.row_number().over(order))
-        first = F.array_sort(F.collect_list(F.when(F.col("r") <= self.examples, F.struct("r", "identifier"))))
-        return per.groupBy("token").agg(F.sum(F.col("k") * F.col("occurrences")).alias("occurrences"), F.sum("occurrences").alias("identifier_rows"), F.array_join(F.transform(first, lambda x: x["identifier"]), "|").alias("examples"))
+        first = near.select("token", "id", "identifier").withColumn("r", F.row_number().over(order)).where(F.col("r") <= self.examples)
+        shown = first.groupBy("token").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "identifier"))), lambda x: x["identifier"]), "|").alias("examples"))
+        return sums.join(shown, "token")
+
+    def ordinals(self) -> DataFrame:
+        """(token, occurrences): unknown tokens without a letter, counted apart."""
+        rows = self._unknown().where(~F.col("token").rlike(r"\p{L}"))
+        return rows.groupBy("token").agg(F.sum(F.col("k") * F.col("occurrences")).alias("occurrences"))
 
     def findings(self) -> DataFrame:
         """(code, occurrences): failures by reason."""
-        rows = compliance_findings(self.ids, self.vocabulary, self.policy).where("verdict = 'fail'")
-        return rows.join(self.names.select("id", "occurrences"), "id").groupBy("code").agg(F.sum("occurrences").alias("occurrences"))
+        rows = self.observed().select("occurrences", F.explode("findings").alias("f")).where("f.verdict = 'fail'")
+        return rows.groupBy("f.code").agg(F.sum("occurrences").alias("occurrences"))
 
     def round_trip(self) -> DataFrame:
         """(id, identifier, logical, rendered, outcome): stable, corrected or inconsistent."""
-        logical = expand_identifiers(self.ids, self.vocabulary, self.policy).select("id", "identifier", F.col("logical_name").alias("logical"))
-        back = to_physical(logical.select("id", "logical"), self.vocabulary, self.policy.but(append_class_word_when_missing=False)).select("id", F.col("physical").alias("rendered"))
-        fixed = normalize(self.ids, self.vocabulary, self.policy).select("id", "normalized")
+        names = _judged_names(self.ids, self.vocabulary, self.policy).select("id", "identifier", *_expansion(F.col("t"))[:1], _normalized().alias("normalized"))
+        names = names.withColumnRenamed("logical_name", "logical")
+        back = to_physical(names.select("id", "logical"), self.vocabulary, self.policy.but(append_class_word_when_missing=False)).select("id", F.col("physical").alias("rendered"))
         outcome = F.when(F.col("rendered") == F.col("identifier"), "stable").when(F.col("rendered") == F.col("normalized"), "corrected").otherwise("inconsistent")
-        return logical.join(back, "id").join(fixed, "id").select("id", "identifier", "logical", "rendered", outcome.alias("outcome"))
+        return names.join(back, "id").select("id", "identifier", "logical", "rendered", outcome.alias("outcome"))
 
     def suggestions(self, limit: int | None = None) -> DataFrame:
-        """(token, occurrences, proposal): the backlog, with a short form where the token is a governed word."""
+        """(token, occurrences, proposal): the backlog, with a short form where the token is a governed word.
+
+        With a limit, the most frequent first, then by token; a DataFrame without one has no order of its own.
+        """
         index = self.vocabulary.reverse().join(self.vocabulary.approved().withColumnRenamed("token", "short"), "short", "left_semi")
         rows = self.backlog().join(self.vocabulary.small(index), F.lower("token") == F.col("key"), "left").select("token", "occurrences", F.col("short").alias("proposal"))
         return rows.orderBy(F.desc("occurrences"), "token").limit(limit) if limit else rows

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.identifiers import canonical_form_score, phrase_key
 
 CATALOG_SCHEMA = "ord int, token string, canonical string, candidates array<string>, pin string, kind string, keep_as_abbrev boolean, class_word string, entry_id string, source string, confidence double"
+OVERLAY_SCHEMA = "layer int, token string, canonical string, entry_id string, confidence double, kind string, keep_as_abbrev boolean, class_word string, candidates array<string>"
 #: A vocabulary beyond this many rows is joined by shuffle instead of being sent to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -54,7 +55,8 @@ POLICIES = {
 class Vocabulary:
     """Catalog, overlay, allow-lists, class words and terms; every token upper-cased.
 
-    catalog: CATALOG_SCHEMA.  overlay: (layer, token, canonical), the highest layer of a token wins.
+    catalog: CATALOG_SCHEMA.  overlay: (layer, token, canonical), and any of entry_id, confidence, kind,
+    keep_as_abbrev, class_word and candidates; the highest layer of a token wins, blank ones are dropped.
     allow: (list, token) with lists approved_abbreviations, common_keywords and short_full_words.
     classes: (abbrev, full).  terms: (logical_name, term_id).
     """
@@ -63,7 +65,10 @@ class Vocabulary:
         up = F.upper(F.trim("token"))
         self.catalog = catalog.withColumn("token", up)
         top = Window.partitionBy("token").orderBy(F.desc("layer"))
-        self.overlay = overlay.withColumn("token", up).where(F.trim("canonical") != "").withColumn("r", F.row_number().over(top)).where("r = 1").select("token", "canonical")
+        given = {"entry_id": F.lit(None).cast("string"), "confidence": F.lit(1.0), "kind": F.lit("approved_abbrev"), "keep_as_abbrev": F.lit(False), "class_word": F.lit(None).cast("string"), "candidates": F.array().cast("array<string>")}
+        own = [F.coalesce(c, v).alias(c) if c in overlay.columns else v.alias(c) for c, v in given.items()]
+        overlay = overlay.select("layer", up.alias("token"), F.trim(F.regexp_replace("canonical", r"\s+", " ")).alias("canonical"), *own)
+        self.overlay = overlay.where("token <> '' and canonical <> ''").withColumn("r", F.row_number().over(top)).where("r = 1").drop("layer", "r")
         self.allow = allow.withColumn("token", up)
         self.classes = classes
         self.terms = terms.withColumn("key", phrase_key(F.col("logical_name")))
@@ -95,31 +100,21 @@ class Vocabulary:
         base = self.catalog.join(self.scored(), "token", "left")
         if policy.mode == "most_common":
             long = F.coalesce(F.try_element_at("candidates", F.lit(1)), "canonical")
-            how = F.when(F.size("candidates") > 1, F.lit("scored"))
+            how = F.when(F.col("keep_as_abbrev") & (long != F.col("canonical")), F.lit("governed"))
         else:
             long = F.coalesce("pin", "best", "canonical")
             how = F.when(F.col("pin").isNotNull(), F.lit("pinned")).when(F.col("best").isNotNull(), F.lit("scored"))
         source = F.coalesce(how, F.when(F.col("keep_as_abbrev"), F.lit("approved")).otherwise(F.lit("governed")))
         own = base.select("token", long.alias("long"), source.alias("source"), "entry_id", "confidence", "kind", F.col("keep_as_abbrev").alias("keep"), "class_word", "candidates", "canonical")
-        over = self.overlay.select("token", F.col("canonical").alias("custom"))
+        over = self.overlay.select("token", F.col("canonical").alias("custom"), F.struct("entry_id", "confidence", "kind", F.col("keep_as_abbrev").alias("keep"), "class_word", "candidates").alias("o"))
         both = own.join(over, "token", "full")
         wins = F.col("custom").isNotNull() & (F.col("long").isNull() | F.lit(policy.allow_override) | (phrase_key(F.col("custom")) == phrase_key(F.col("long"))))
         word = F.concat(F.upper(F.substring("token", 1, 1)), F.lower(F.substr(F.col("token"), F.lit(2))))
         rank = F.expr("case list when 'approved_abbreviations' then 0 when 'common_keywords' then 1 else 2 end")
         listed = self.allow.groupBy("token").agg(F.min(rank).alias("rank")).join(both.select("token"), "token", "left_anti")
         self_entry = listed.select("token", word.alias("long"), F.lit("approved").alias("source"), F.lit(None).cast("string").alias("entry_id"), F.lit(1.0).alias("confidence"), F.when(F.col("rank") == 2, F.lit("short_full_word")).otherwise(F.lit("approved_abbrev")).alias("kind"), F.lit(True).alias("keep"), F.lit(None).cast("string").alias("class_word"), F.array().cast("array<string>").alias("candidates"), word.alias("canonical"))
-        answer = both.select(
-            "token",
-            F.when(wins, F.col("custom")).otherwise(F.col("long")).alias("long"),
-            F.when(wins, F.lit("custom")).otherwise(F.col("source")).alias("source"),
-            F.when(wins, F.lit(None)).otherwise(F.col("entry_id")).alias("entry_id"),
-            F.when(wins, F.lit(1.0)).otherwise(F.col("confidence")).alias("confidence"),
-            F.coalesce("kind", F.lit("domain_pin")).alias("kind"),
-            F.coalesce("keep", F.lit(True)).alias("keep"),
-            "class_word",
-            F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"),
-            F.when(wins, F.col("custom")).otherwise(F.col("canonical")).alias("canonical"),
-        )
+        fields = [F.when(wins, F.col("o")[c]).otherwise(F.col(c)).alias(c) for c in ("entry_id", "confidence", "kind", "keep", "class_word", "candidates")]
+        answer = both.select("token", F.when(wins, F.col("custom")).otherwise(F.col("long")).alias("long"), F.when(wins, F.lit("custom")).otherwise(F.col("source")).alias("source"), *fields, F.when(wins, F.col("custom")).otherwise(F.col("canonical")).alias("canonical"))
         return answer.unionByName(self_entry)
 
     def approved(self) -> DataFrame:
@@ -135,7 +130,9 @@ class Vocabulary:
 
     def class_words(self) -> DataFrame:
         """(token, class_word): a token's own, else what the abbreviation map or the full-form map says."""
-        own = self.catalog.where("class_word is not null").select("token", "class_word", F.lit(0).alias("rank"))
+        over = self.overlay.select("token", "class_word", F.lit(-1).alias("rank"))
+        own = self.catalog.select("token", "class_word", F.lit(0).alias("rank"))
+        own = over.union(own.join(over.select("token"), "token", "left_anti")).where("class_word is not null")  # an overlay row hides the catalog's
         short = self.classes.select(F.upper("abbrev").alias("token"), F.col("full").alias("class_word"), F.lit(1).alias("rank"))
         full = self.classes.select(F.upper("full").alias("token"), F.col("full").alias("class_word"), F.lit(2).alias("rank"))
         return own.union(short).union(full).groupBy("token").agg(F.min_by("class_word", "rank").alias("class_word"))
@@ -149,14 +146,15 @@ def literal(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, catalog, overlay=(), allow=(), classes=(), terms=()) -> Vocabulary:
-    """A Vocabulary from literal rows."""
-    return Vocabulary(
+    """A Vocabulary from literal rows: the driver holds them, so one partition does, and nothing of it is shuffled."""
+    parts = [
         literal(spark, [(i, *r) for i, r in enumerate(catalog)], CATALOG_SCHEMA),
-        literal(spark, list(overlay), "layer int, token string, canonical string"),
+        literal(spark, list(overlay), OVERLAY_SCHEMA if overlay and len(overlay[0]) > 3 else "layer int, token string, canonical string"),
         literal(spark, list(allow), "list string, token string"),
         literal(spark, list(classes), "abbrev string, full string"),
         literal(spark, list(terms), "logical_name string, term_id string"),
-    )
+    ]
+    return Vocabulary(*(p.coalesce(1) for p in parts))
 
 
 def from_mapping(pairs: DataFrame) -> DataFrame:

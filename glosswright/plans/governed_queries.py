@@ -70,7 +70,7 @@ TITLE_SQL = "upper(left(token, 1)) || lower(substr(token, 2))"
 def prefix(policy: v.Policy = v.POLICIES["governed_default"]) -> str:
     if policy.mode == "most_common":
         long = "coalesce(k.candidates[1], k.canonical)"
-        how = "CASE WHEN len(k.candidates) > 1 THEN 'scored' END"
+        how = "CASE WHEN keep AND coalesce(k.candidates[1], k.canonical) <> k.canonical THEN 'governed' END"
     else:
         long, how = "coalesce(k.pin, b.best, k.canonical)", "CASE WHEN k.pin IS NOT NULL THEN 'pinned' WHEN b.best IS NOT NULL THEN 'scored' END"
     return f"""WITH {IDS_SQL},
@@ -92,12 +92,12 @@ joined AS (SELECT coalesce(o.token, c.token) AS token, o.* EXCLUDE (token), c.cu
 res AS (
   SELECT token, CASE WHEN wins THEN custom ELSE long END AS long, CASE WHEN wins THEN 'custom' ELSE source END AS source,
          CASE WHEN wins THEN NULL ELSE entry_id END AS entry_id, CASE WHEN wins THEN 1.0 ELSE confidence END AS confidence,
-         coalesce(kind, 'domain_pin') AS kind, coalesce(keep, true) AS keep, class_word, CASE WHEN wins THEN custom ELSE canonical END AS canonical FROM joined
+         CASE WHEN wins THEN 'approved_abbrev' ELSE kind END AS kind, CASE WHEN wins THEN false ELSE keep END AS keep, CASE WHEN wins THEN NULL ELSE class_word END AS class_word, CASE WHEN wins THEN custom ELSE canonical END AS canonical FROM joined
   UNION ALL
   SELECT token, {TITLE_SQL}, 'approved', NULL, 1.0, CASE WHEN listed = 2 THEN 'short_full_word' ELSE 'approved_abbrev' END, true, NULL, {TITLE_SQL}
   FROM allow WHERE token NOT IN (SELECT token FROM joined)),
 cw AS (SELECT token, arg_min(class_word, rank) AS cw FROM (
-  SELECT token, class_word, 0 AS rank FROM cat WHERE class_word IS NOT NULL UNION ALL SELECT upper(abbrev), full_name, 1 FROM classes UNION ALL SELECT upper(full_name), full_name, 2 FROM classes) GROUP BY token),
+  SELECT token, class_word, 0 AS rank FROM cat WHERE class_word IS NOT NULL AND token NOT IN (SELECT token FROM overlay) UNION ALL SELECT upper(abbrev), full_name, 1 FROM classes UNION ALL SELECT upper(full_name), full_name, 2 FROM classes) GROUP BY token),
 approved AS (SELECT token FROM overlay UNION SELECT token FROM cat WHERE keep UNION SELECT token FROM allow),
 forms AS (SELECT DISTINCT token, confidence, canonical, unnest(list_concat([canonical], candidates)) AS form FROM cat),
 rev AS (SELECT lower(form) AS key, first(token ORDER BY (lower(form) <> lower(canonical))::INT, length(token), token) AS short FROM forms GROUP BY 1),
@@ -340,4 +340,40 @@ def merge_pins(spark, sf):
 
 @query(f"WITH o AS {_values(OVERLAY, 'layer, token, canonical')} SELECT token, arg_max(canonical, layer) AS canonical FROM o GROUP BY token")
 def layer_overlays(spark, sf):
-    return _vocabulary(spark).overlay
+    return _vocabulary(spark).overlay.select("token", "canonical")
+
+
+#: Tokens that begin with digits, and an overlay of whole entries.
+DIGITS = [("1MM", "One Million", [], None, "approved_abbrev", True, None, "D1", "governed", 1.0), ("7DAY", "Seven Day", [], None, "approved_abbrev", True, None, "D2", "governed", 1.0), ("RATE", "Rate", [], None, "approved_abbrev", True, "Rate", "D3", "governed", 1.0)]
+WHOLE = [(0, "RATE", " Interest  Rate ", "X9", 0.75, "domain_pin", True, "Percent", ["Rate"]), (0, "MM", " ", None, None, None, None, None, None)]
+DIGIT_IDS = "'RATE_' || p_size || CASE p_partkey % 3 WHEN 0 THEN 'MM' WHEN 1 THEN 'DAY' ELSE '_MM_2' END || '_RATE'"
+
+
+def _digit_rows(spark, sf):
+    ids = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", DIGIT_IDS + " AS identifier")
+    return ids, v.vocabulary(spark, DIGITS, WHOLE)
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS id, p_size, p_partkey % 3 AS k FROM part),
+j AS (SELECT id, CASE WHEN k <> 1 AND p_size = 1 THEN ['RATE', '1MM'] WHEN k = 1 AND p_size = 7 THEN ['RATE', '7DAY'] ELSE ['RATE', p_size::VARCHAR, CASE k WHEN 1 THEN 'DAY' ELSE 'MM' END] END || CASE k WHEN 2 THEN ['2', 'RATE'] ELSE ['RATE'] END AS t FROM s)
+SELECT id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM j"""
+)
+def rejoin_digits(spark, sf):
+    ids, vocab = _digit_rows(spark, sf)
+    return g.tokens_of(ids, vocab).select("id", "token", "pos")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS id, p_size, p_partkey % 3 AS k FROM part)
+SELECT id, 'Interest Rate ' || CASE WHEN k <> 1 AND p_size = 1 THEN 'One Million' WHEN k = 1 AND p_size = 7 THEN 'Seven Day' ELSE p_size || CASE k WHEN 1 THEN ' Day' ELSE ' Mm' END END || CASE k WHEN 2 THEN ' 2' ELSE '' END || ' Interest Rate' AS logical_name,
+CASE WHEN k <> 2 AND ((k = 0 AND p_size = 1) OR (k = 1 AND p_size = 7)) THEN 0.75 ELSE 0.0 END AS confidence, 'Percent' AS class_word FROM s"""
+)
+def whole_overlay_entries(spark, sf):
+    ids, vocab = _digit_rows(spark, sf)
+    return g.expand_identifiers(ids, vocab, DEFAULT).select("id", "logical_name", "confidence", "class_word")
+
+
+@query(f"{prefix()} SELECT up AS token, sum(occ)::BIGINT AS occurrences FROM et JOIN (SELECT identifier, count(*) AS occ, min(id) AS id FROM ids GROUP BY 1) p ON p.id = et.id WHERE NOT is_known AND NOT regexp_matches(up, '[A-Z]') GROUP BY up")
+def letterless_tokens(spark, sf):
+    return g.Audit(_ids(spark, sf), _vocabulary(spark), DEFAULT).ordinals()
