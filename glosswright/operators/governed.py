@@ -159,6 +159,19 @@ def compliance_findings(ids: DataFrame, vocabulary: Vocabulary, policy: Policy)
     return _judged_names(ids, vocabulary, policy).select("id", F.explode("findings").alias("f")).select("id", "f.*")
 
 
+def judged(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
+    """(id, identifier, findings): the findings of each name in order."""
+    return _judged_names(ids, vocabulary, policy).select("id", "identifier", "findings")
+
+
+def audit_names(ids: DataFrame, vocabulary: Vocabulary, policy: Policy) -> DataFrame:
+    """(id, identifier, occurrences, is_fully_known, compliant, unknown_tokens, codes, normalized) of each name."""
+    rows = _judged_names(ids, vocabulary, policy)
+    unknown = F.transform(F.filter("t", lambda x: ~x["is_known"]), lambda x: x["upper"])
+    codes = F.array_distinct(F.transform(F.filter("findings", lambda f: f["verdict"] == "fail"), lambda f: f["code"]))
+    return rows.select("id", "identifier", F.lit(1).alias("occurrences"), _expansion(F.col("t"))[1].alias("is_fully_known"), (_failures() == 0).alias("compliant"), unknown.alias("unknown_tokens"), codes.alias("codes"), _normalized().alias("normalized"))
+
+
 def _failures() -> Column:
     return F.size(F.filter("findings", lambda f: f["verdict"] == "fail")).cast("long")
 

@@ -66,12 +66,12 @@ def group_of(short: Column) -> Column:
 
 
 def harvest(docs: DataFrame, most: int = 12) -> DataFrame:
-    """(doc_id, short, words): bracketed short texts and the words before them."""
-    hits = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^()]*\([^()]{1,30}\)"), F.lit(0))).alias("h"))
+    """(doc_id, ord, short, words): bracketed short texts and the words before them."""
+    hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^()]*\([^()]{1,30}\)"), F.lit(0))).alias("ord", "h"))
     short = F.trim(F.regexp_extract("h", r"\(([^()]{1,30})\)$", 1))
     words = F.regexp_extract_all(F.regexp_extract("h", r"^([^()]*)\(", 1), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     last = F.slice(words, F.greatest(F.size(words) - most + 1, F.lit(1)), most)
-    return hits.select("doc_id", short.alias("short"), last.alias("words")).where(F.size("words") > 0)
+    return hits.select("doc_id", "ord", short.alias("short"), last.alias("words")).where(F.size("words") > 0)
 
 
 def strategy_hits(rows: DataFrame) -> DataFrame:
@@ -119,3 +119,33 @@ def best_alignments(rows: DataFrame, table: DataFrame, minimum: float = 0.0, sup
     known = table.where((F.col("support") >= support) & (F.col("precision") >= minimum)).join(F.broadcast(order), "strategy")  # thirty strategies, fifteen groups
     first = Window.partitionBy("doc_id", "short").orderBy(F.desc("precision"), "strictness", "strategy")
     return hits.join(F.broadcast(known), ["grp", "strategy"]).withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", "short", "strategy", "precision")
+
+
+def long_forms(rows: DataFrame, table: DataFrame, minimum: float = 0.0) -> DataFrame:
+    """(doc_id, ord, short, long): the cascade.  For each bracketed short form the first strategy by precision that
+    matches says where its long form begins; none below the minimum."""
+    hits = strategy_hits(rows).withColumn("grp", group_of(F.col("short")))
+    order = F.array(*[F.struct(F.lit(s[0]).alias("strategy"), F.lit(k).alias("strictness")) for k, s in enumerate(STRATEGIES)])
+    ranks = rows.sparkSession.range(1).select(F.explode(order).alias("o")).select("o.*")
+    known = table.where((F.col("support") >= 5) & (F.col("precision") >= minimum)).join(F.broadcast(ranks), "strategy")  # thirty strategies, fifteen groups
+    each = hits.select("doc_id", "ord", "short", "words", "grp", F.explode("hit").alias("strategy")).join(F.broadcast(known), ["grp", "strategy"])
+    best = each.groupBy("doc_id", "ord").agg(F.min_by(F.struct("short", "words", "strategy", "precision"), F.struct(-F.col("precision"), "strictness", "strategy")).alias("b")).select("doc_id", "ord", "b.*")
+    by = {s[0]: s for s in STRATEGIES}
+
+    @F.pandas_udf("int")
+    def start(short, words, strategy):
+        return short.combine(words, lambda a, b: (a, b)).combine(strategy, lambda ab, s: best_start(ab[0], list(ab[1]), by[s]))
+
+    n = F.size("words")
+    return best.withColumn("at", start("short", "words", "strategy")).select("doc_id", "ord", "short", F.array_join(F.slice("words", F.col("at") + 1, n), " ").alias("long"), "strategy", "precision")
+
+
+def reranked(rows: DataFrame, table: DataFrame, minimum: float = 0.0) -> DataFrame:
+    """(doc_id, ord, short, long, score): of all spans before a bracket the one with the most reliable strategy that
+    explains it, the shortest of equals; none whose best is below the minimum."""
+    n = F.size("words")
+    spans = rows.select("doc_id", "ord", "short", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.slice("words", k, n))).alias("words")).where(F.size("words") > 0)
+    hits = strategy_hits(spans).withColumn("grp", group_of(F.col("short"))).select("doc_id", "ord", "short", "words", "grp", F.explode("hit").alias("strategy"))
+    scored = hits.join(F.broadcast(table.select("grp", "strategy", "precision")), ["grp", "strategy"]).where("precision > 0")  # thirty strategies, fifteen groups
+    best = scored.groupBy("doc_id", "ord", "short").agg(F.min_by(F.struct("words", "precision"), F.struct(-F.col("precision"), F.size("words"))).alias("b"))
+    return best.select("doc_id", "ord", "short", F.array_join("b.words", " ").alias("long"), F.col("b.precision").alias("score")).where(F.col("score") >= minimum)

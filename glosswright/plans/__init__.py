@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from . import acronym_queries, governed_queries, language_queries, stream_queries, text_queries
+from . import acronym_queries, evaluation_queries, governed_queries, language_queries, stream_queries, text_queries
 
-AREAS = [governed_queries, text_queries, language_queries, acronym_queries, stream_queries]
+AREAS = [governed_queries, text_queries, language_queries, acronym_queries, evaluation_queries, stream_queries]
 
 
 def queries() -> dict:

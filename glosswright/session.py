@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,3 +32,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT))
     sc.addPyFile(str(path))
     sc._glosswright_sent = True
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share; only a local session without spark.checkpoint.dir gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="glosswright-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/glosswright/{name}-{uuid.uuid4().hex}"
