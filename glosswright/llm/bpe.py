@@ -15,8 +15,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from .common import KEPT_BETWEEN_TASKS
+
 INF = np.int64(1 << 40)
 
 
@@ -251,47 +254,147 @@ ASCII_BYTE_PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+|
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-#: Cuts of BYTE_PATTERN's texts at ASCII white space, and the UTF-8 bytes of other white space.
+#: Classes of bytes in texts whose characters beyond ASCII are all letters.
+SPACE, LETTER, DIGIT, MARK = range(4)
+CLASS = np.array([SPACE if b in b" \t\n\v\f\r" else LETTER if b > 127 or chr(b).isalpha() else DIGIT if 48 <= b < 58 else MARK for b in range(256)], np.uint8)
+#: Cuts of other texts at ASCII white space, and the UTF-8 bytes of other white space.
 BYTE_PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
-class TextEncoder:
-    """Encodes whole texts; keeps the ids of recently seen pieces, a bounded number of them.
+def letters_beyond_ascii(text: str) -> bool:
+    return all(c.isalpha() for c in set(text) if c > "\x7f")
+
 
-    Texts are cut where no pre-token can span: at ASCII white space for files that drop white space, and
-    around runs of it, the last space staying with what follows, for files that keep it.  Equal pieces then
-    have equal ids wherever they stand, so each distinct piece of a block is encoded once.
+class TextEncoder:
+    """Encodes whole texts; keeps the ids of recently seen pieces, a bounded number of bytes of them.
+
+    Texts whose characters beyond ASCII are all letters are cut into pre-tokens by the classes of their bytes, a
+    block of them at a time with numpy; Arrow finds the distinct pieces.  Others are cut where no pre-token can span: at ASCII white space for files that
+    drop white space, and around runs of it, the last space staying with what follows, for files that keep
+    it; pieces that touch other white space or a special token's beginning stay in one piece with their
+    neighbours.  Equal pieces have equal ids wherever they stand, so each distinct piece of a block is encoded
+    once.
     """
 
-    KEPT = 200_000
-    BLOCK = 4 << 20
+    #: Bytes that a generation of pieces may take before it becomes the old one, with OVERHEAD for each piece.
+    KEPT, OVERHEAD = 24 << 20, 150
+    BLOCK = 8 << 20
 
     def __init__(self, path: str):
         self.bpe = SpeculativeBPE(path)
         self.drops_space = bool(self.bpe.suffix)
         self.marks = regex.compile("|".join(map(regex.escape, self.bpe.special))) if self.bpe.special else None
+        self.whole = any(any(c.isspace() for c in m) for m in self.bpe.special)  # such a special token may span pieces
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.size = 0
         self.raw_token = [t.encode() for t in self.bpe.tokens]
 
+    def _direct(self, text: bytes) -> bytes | None:
+        """The text in its normal form, where classes of bytes give its pre-tokens; else None."""
+        if b"<|" in text:
+            return None
+        if text.isascii():
+            return text.lower() if self.drops_space else text
+        wide = text.decode("utf-8", "replace")
+        if self.drops_space:
+            wide = self._lowered(wide)
+            text = wide.encode()
+        return text if letters_beyond_ascii(wide) else None
+
+    def _tiles(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The places at which pieces begin in texts that begin at `first`: pre-tokens, each with the one space before it,
+        and other white space."""
+        kind, n = CLASS[data], len(data)
+        text = np.zeros(n + 1, bool)
+        text[first] = text[n] = True
+        new = np.append(True, kind[1:] != kind[:-1]) | text[:n]
+        if self.drops_space:
+            new |= kind == DIGIT
+        space = kind == SPACE
+        last = np.flatnonzero(space[:-1] & ~space[1:])  # of a run of white space within a text: a piece of its own,
+        last = last[~text[last + 1]]
+        new[last] = True
+        new[last[data[last] == 32] + 1] = False  # or the beginning of the next one
+        quote = np.flatnonzero(data == 39)
+        if len(quote):  # contractions: an apostrophe alone among marks, and the letters of one
+            padded = np.append(data, np.zeros(2, np.uint8))
+            before = np.where(text[quote], 0, data[quote - 1])
+            alone = (CLASS[before] != MARK) | text[quote]
+            if not self.drops_space:
+                alone &= before != 32
+            a, b = padded[quote + 1], padded[quote + 2]
+            inside, longer = ~text[quote + 1], ~text[np.minimum(quote + 2, n)]
+            size = np.where(np.isin(a, np.frombuffer(b"stmd", np.uint8)), 1, 0)
+            size = np.where(longer & ((np.isin(a, np.frombuffer(b"rv", np.uint8)) & (b == 101)) | (a == 108) & (b == 108)), 2, size)
+            hit = alone & inside & (size > 0)
+            new[quote[hit] + 1] = False
+            end = quote[hit] + 1 + size[hit]
+            end = end[end < n]
+            new[end] |= kind[end] == LETTER
+        return np.flatnonzero(new)
+
+    def _tiled(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text in its normal form; each distinct piece is looked up once."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        end = np.cumsum(sizes)
+        if not len(data):
+            return [b""] * len(texts)
+        begin = self._tiles(data, (end - sizes)[sizes > 0])
+        offsets = np.append(begin, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.new.get, distinct))
+        open_ = [i for i, ids in enumerate(found) if ids is None]
+        words = [distinct[i] for i in open_]
+        learned = dict(zip(words, map(self.old.get, words), strict=True))
+        unknown = [w for w, ids in learned.items() if ids is None]
+        if unknown:
+            learned.update(zip(unknown, self._learn(unknown, []), strict=True))
+        self._keep(learned)
+        for i, w in zip(open_, words, strict=True):
+            found[i] = learned[w]
+        n = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids = np.frombuffer(b"".join(found), "<u4")
+        count = n[index]
+        raw = ids[ragged((np.cumsum(n) - n)[index], count)].tobytes()
+        total = np.append(0, np.cumsum(count)) * 4
+        stop = total[np.searchsorted(begin, end)].tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+
+    @staticmethod
+    def _lowered(text: str) -> str:
+        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+
     def _cut(self, text: bytes) -> list[bytes]:
+        if self.whole and b"<|" in text:
+            return [text]
         if self.drops_space:
             return text.split()
-        if not text.isascii() and WIDE_SPACE.search(text):
-            return [text]
-        if b"<|" in text:
-            return [text]
-        return BYTE_PIECE.findall(text)
+        pieces = BYTE_PIECE.findall(text)
+        if b"<|" in text or not text.isascii() and WIDE_SPACE.search(text):
+            return self._glued(pieces)
+        return pieces
+
+    @staticmethod
+    def _glued(pieces: list[bytes]) -> list[bytes]:
+        """Pieces that begin or end with other white space, or are a space and a special token, with their neighbours."""
+        out, open_ = [], False
+        for p in pieces:
+            body = p.lstrip(b" ")
+            left = WIDE_SPACE.match(body) or len(body) < len(p) and body.startswith(b"<|")
+            if out and (open_ or left):
+                out[-1] += p
+            else:
+                out.append(p)
+            open_ = bool(WIDE_SPACE.match(p, max(0, len(p) - 2)) or WIDE_SPACE.match(p, max(0, len(p) - 3)))
+        return out
 
     def _pretokens(self, piece: bytes) -> list[bytes | int]:
         if piece.isascii() and b"<|" not in piece:
-            if self.drops_space:
-                piece = piece.lower()
-                return [piece] if piece.isalpha() else ASCII_WORD_PATTERN.findall(piece)
-            if piece.isalpha() or piece[:1] == b" " and piece[1:].isalpha():
-                return [piece]
-            return ASCII_BYTE_PATTERN.findall(piece)
+            return ASCII_WORD_PATTERN.findall(piece.lower()) if self.drops_space else ASCII_BYTE_PATTERN.findall(piece)
         text = piece.decode("utf-8", "replace")
         if "<|" not in text or not self.marks:
             return self._plain(text)
@@ -305,59 +408,58 @@ class TextEncoder:
 
     def _plain(self, text: str) -> list[bytes]:
         if self.drops_space:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+            text = self._lowered(text)
             return [text.encode()] if text.isalpha() else [w.encode() for w in WORD_PATTERN.findall(text)]
         if text.isalpha() or text[:1] == " " and text[1:].isalpha():
             return [text.encode()]
         return [w.encode() for w in BYTE_PATTERN.findall(text)]
 
-    def _learn(self, pieces) -> None:
-        words: dict[bytes, int] = {}
-        plans = []
-        for piece in pieces:
-            plan = self._pretokens(piece)
-            if len(plan) == 1 and plan[0].__class__ is bytes:
-                plans.append((piece, ~words.setdefault(plan[0], len(words))))
-            else:
-                plans.append((piece, [p if isinstance(p, int) else ~words.setdefault(p, len(words)) for p in plan]))
-        ids, counts = self.bpe.encode(list(words))
+    def _learn(self, words: list[bytes], others: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens (with their space, where it does not count), then of other pieces by way of their own."""
+        place: dict[bytes, int] = {}
+        plans = [[p if p.__class__ is int else ~place.setdefault(p, len(place)) for p in self._pretokens(piece)] for piece in others]
+        ids, counts = self.bpe.encode([*(map(bytes.strip, words) if self.drops_space else words), *place])
         raw, end = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
-        begin = (end - counts * 4).tolist()
-        end = end.tolist()
-        for piece, plan in plans:
-            if plan.__class__ is int:
-                self.new[piece] = raw[begin[~plan] : end[~plan]]
-                continue
-            self.new[piece] = b"".join(raw[begin[~p] : end[~p]] if p < 0 else p.to_bytes(4, "little") for p in plan)
+        found = [raw[a:b] for a, b in zip((end - counts * 4).tolist(), end.tolist(), strict=True)]
+        later = found[len(words) :]
+        return found[: len(words)] + [b"".join([later[~p] if p < 0 else p.to_bytes(4, "little") for p in plan]) for plan in plans]
+
+    def _keep(self, learned: dict[bytes, bytes]) -> None:
+        self.new.update(learned)
+        self.size += sum(map(len, learned)) + sum(map(len, learned.values())) + self.OVERHEAD * len(learned)
+
+    def _looked_up(self, pieces: list[list[bytes]]) -> None:
+        """Make the distinct pieces of other texts known."""
+        unknown = set().union(*pieces).difference(self.new)
+        again = {p: self.old[p] for p in unknown.intersection(self.old)}
+        rest = [p for p in unknown if p not in again]
+        self._keep(again | dict(zip(rest, self._learn([], rest), strict=True)))
 
     def encode(self, texts: list[bytes | None]):
         """Yields the ids of each text in turn, as little-endian unsigned 32-bit integers."""
         i = 0
         while i < len(texts):
-            block, size = [], 0
+            tiled, other, order, size = [], [], [], 0
+            while i < len(texts) and (not order or size < self.BLOCK):
+                text = texts[i] or b""
+                normal = self._direct(text)
+                order.append(normal is not None)
+                (other if normal is None else tiled).append(text if normal is None else normal)
+                size += len(text)
+                i += 1
+            if self.size > self.KEPT:
+                self.new, self.old, self.size = {}, self.new, 0
             collecting = gc.isenabled()
             gc.disable()  # many small objects, none in a cycle
-            while i < len(texts) and (not block or size < self.BLOCK):
-                block.append(self._cut(texts[i] or b""))
-                size += len(texts[i] or b"")
-                i += 1
-            if len(self.new) > self.KEPT:
-                self.new, self.old = {}, self.new
-            missing = dict.fromkeys(p for pieces in block for p in pieces)
-            unknown = []
-            for p in missing:
-                if p not in self.new:
-                    if p in self.old:
-                        self.new[p] = self.old[p]
-                    else:
-                        unknown.append(p)
-            if unknown:
-                self._learn(unknown)
+            easy = iter(self._tiled(tiled)) if tiled else iter(())
+            pieces = [self._cut(t) for t in other]
+            if pieces:
+                self._looked_up(pieces)
+            hard = iter([b"".join(map(self.new.__getitem__, p)) for p in pieces])
             if collecting:
                 gc.enable()
-            get = self.new.__getitem__
-            for pieces in block:
-                yield b"".join(map(get, pieces))
+            for direct in order:
+                yield next(easy if direct else hard)
 
     def decode(self, ids: bytes) -> bytes:
         """The text that a file without a decoder gives: token strings, one space between them."""
@@ -367,5 +469,11 @@ class TextEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One encoder a process and file; Spark's Python workers use it again from task to task."""
+    """One encoder a process and file; Spark's Python workers use it again from task to task.
+
+    Tasks of operators that need the memory drop it with common.lean().
+    """
     return TextEncoder(path)
+
+
+KEPT_BETWEEN_TASKS.append(encoder.cache_clear)
