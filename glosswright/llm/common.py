@@ -34,9 +34,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop what finished jobs have sent to all tasks
+    trim()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What drops the tables that modules keep in a Python worker from one task to the next.
+KEPT_BETWEEN_TASKS: list = []
+
+
+def lean() -> None:
+    """Drop what other operators' tasks have left in this Python worker, which may be used again by any task."""
+    for drop in KEPT_BETWEEN_TASKS:
+        drop()
+    trim()
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks and hold on to it."""
     libc = ctypes.CDLL(None)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, text_bytes, written
+from .common import lean, partitions, small_batches, text_bytes, written
 
 SPACE = b" \t\n\v\f\r"
 PREFIX = 16
@@ -44,6 +44,7 @@ def _content_sort(docs: DataFrame, id_column: str, text_column: str, members: bo
     kind = rows.schema["rest"].dataType.simpleString()
 
     def stage(batches):
+        lean()
         held, size, arrow = {}, 0, None
 
         def flush():
@@ -82,6 +83,7 @@ def _content_sort(docs: DataFrame, id_column: str, text_column: str, members: bo
     ordered = parts.repartitionByRange(partitions(spark), "prefix", "sha").sortWithinPartitions("prefix", "sha")
 
     def neighbours(batches):
+        lean()
         now, arrow = None, None
         for batch in batches:
             arrow = batch.schema.field("rest").type

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, small_batches, text_bytes, written
+from .common import components, lean, partitions, small_batches, text_bytes, written
 from .shingles import blocks, shingle_hashes, word_hashes
 
 #: Bytes of a set's digest that name it among the posts.
@@ -162,6 +162,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, id_column: str, text_col
     """(doc_id, n, digest, name, posts): posts once for each distinct set that a task meets."""
 
     def run(batches):
+        lean()
         seen = set()
         for batch in batches:
             n, digests, names, posts = [], [], [], []
@@ -182,6 +183,7 @@ def shared_posts(posts: DataFrame) -> DataFrame:
     """The rows (member, name) whose member other names post as well; one neighbour is all that is held."""
 
     def run(batches):
+        lean()
         m, x, more = np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:  # the last row waits for the next batch; `more`: its member was seen before it
             m = np.concatenate([m, batch.column("member").to_numpy()])
@@ -214,6 +216,7 @@ def common_members(texts: DataFrame, k: int) -> np.ndarray:
     bounds, which only decide an order."""
 
     def run(batches):
+        lean()
         parts = []
         for batch in batches:
             parts += distinct_sets(batch.column("text").to_pylist(), k)
@@ -237,6 +240,7 @@ def reordered_posts(texts: DataFrame, k: int, percent: int, common: np.ndarray)
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        lean()
         late = shared.value
         for batch in batches:
             members, names = [], []
@@ -284,6 +288,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_column
     dealt = cast.repartition(partitions(spark), "component", "p", "q").sortWithinPartitions("component", "p", "q", "rep")
 
     def join(batches):
+        lean()
         now, reps, texts, sides = None, [], [], []
 
         def flush():

@@ -21,6 +21,7 @@ Segments count as equal only after a comparison of their bytes; hashes decide wh
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, text_bytes, trim, written
+from .common import lean, partitions, small_batches, text_bytes, trim, written
 from .run_index import RunIndex
 from .shingles import BASE, INVERSE, VALUES, blocks, mix, powers
 
@@ -173,11 +174,13 @@ def _has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def shared_filters(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps over the leading bits of minimisers: those of two documents or more, and the hot ones."""
+def shared_filters(rows: DataFrame, length: int) -> list[tuple[int, bytes, bytes]]:
+    """Parts of two bitmaps over the leading bits of minimisers, those of two documents or more and the hot ones:
+    (first byte, compressed bytes of the first, bits of the second).  The driver only passes them on."""
     ranges = partitions(rows.sparkSession)
 
     def post(batches):
+        lean()
         def flush(grams, docs):
             gram, doc = np.concatenate(grams) >> _U(24), np.concatenate(docs)
             order = np.argsort(gram)
@@ -214,6 +217,7 @@ def shared_filters(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray
     posted = rows.mapInArrow(post, "r int, one binary, many binary, heavy binary, counts binary").repartition(ranges, "r").sortWithinPartitions("r")
 
     def meet(batches):
+        lean()
         now, once, heavy, counts = None, [], [], []
 
         def flush():
@@ -227,7 +231,7 @@ def shared_filters(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray
             v, w = v[order], w[order]
             at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             hot = np.unique(v[at][np.add.reduceat(w, at) >= HOT] >> (40 - HOT_BITS))
-            return pa.record_batch([pa.array([low], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([hot.astype("<i4").tobytes()], pa.binary())], ["low", "bits", "hot"])
+            return pa.record_batch([pa.array([low], pa.int64()), pa.array([zlib.compress(part, 1)], pa.binary()), pa.array([hot.astype("<i4").tobytes()], pa.binary())], ["low", "bits", "hot"])
 
         for batch in batches:
             for r, one, many, some, n in zip(*(batch.column(c).to_pylist() for c in ("r", "one", "many", "heavy", "counts")), strict=True):
@@ -242,11 +246,17 @@ def shared_filters(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray
             yield flush()
         trim()
 
+    found = posted.mapInArrow(meet, "low long, bits binary, hot binary").collect()  # 34 MB in all, whatever the input
+    return [(r["low"], bytes(r["bits"]), bytes(r["hot"])) for r in found]
+
+
+def bitmaps(parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     shared, hot = np.zeros(1 << FILTER_BITS - 3, np.uint8), np.zeros(1 << HOT_BITS - 3, np.uint8)
-    for row in posted.mapInArrow(meet, "low long, bits binary, hot binary").collect():  # 34 MB in all, whatever the input
-        part = np.frombuffer(row["bits"], np.uint8)
-        shared[row["low"] : row["low"] + len(part)] |= part
-        hot |= _set_bits(1 << HOT_BITS, np.frombuffer(row["hot"], "<i4"))
+    for low, bits, some in parts:
+        part = np.frombuffer(zlib.decompress(bits), np.uint8)
+        shared[low : low + len(part)] |= part
+        at = np.frombuffer(some, "<i4")
+        np.bitwise_or.at(hot, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return shared, hot
 
 
@@ -260,17 +270,19 @@ def _mark_batch(r, marks, names):
     return pa.record_batch([pa.array(r, pa.int32()), *blobs, *(pa.array(x, pa.int64()) for x in marks)], names)
 
 
-def segments(rows: DataFrame, length: int, shared: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """Rows (r, n, blob) of segments for the ranges, and rows (r, marks) of what is known at once."""
-    spark = rows.sparkSession
-    ranges = SPLIT * partitions(spark)
-    filters = spark.sparkContext.broadcast((shared, hot))  # 34 MB, whatever the input
+def segments(rows: DataFrame, length: int, filters) -> DataFrame:
+    """Rows (r, n, blob) of segments for the ranges, and rows (r, marks) of what is known at once.
+
+    filters: a broadcast of shared_filters(), at most 34 MB whatever the input.
+    """
+    ranges = SPLIT * partitions(rows.sparkSession)
     names = ["r", "n", "blob", *MARKS]
 
     def run(batches):
+        lean()
         held: list[tuple] = []
         size, pack = 0, zstandard.ZstdCompressor(level=1)
-        shared, hot = filters.value
+        shared, hot = bitmaps(filters.value)
 
         def flush():
             doc, th, place, n, route, key, content = (np.concatenate([h[k] for h in held]) for k in range(7))
@@ -382,6 +394,7 @@ def marks(blobs: DataFrame, length: int) -> DataFrame:
     the marks that came along."""
 
     def run(batches):
+        lean()
         now, parts, unpack = None, [], zstandard.ZstdDecompressor()
         for batch in batches:
             done = batch.filter(pc.is_valid(batch.column("start")))
@@ -430,7 +443,9 @@ def marked_documents(docs: DataFrame, length: int = 50, id_column: str = "doc_id
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("utf8")).withColumn("th", F.xxhash64("utf8"))
     rows = keyed.where("doc_id is not null").select("doc_id", "th", F.col("utf8").alias("text")).where(F.length("text") >= length)
     # written before the texts are shuffled: the segments' shuffle files can go first
-    found = written(marks(segments(rows, length, *shared_filters(rows, length)), length), "marks")
+    filters = docs.sparkSession.sparkContext.broadcast(shared_filters(rows, length))
+    found = written(marks(segments(rows, length, filters), length), "marks")
+    filters.destroy()
     every = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("marked"))  # a document's own
     return keyed.join(every, ["doc_id", "th"], "left").select("row", "utf8", "marked")
 
@@ -439,6 +454,7 @@ def removal_digests(docs: DataFrame, length: int = 50, id_column: str = "doc_id"
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def run(batches):
+        lean()
         for batch in batches:
             out = []
             for text, marked in zip(*(batch.column(c).to_pylist() for c in ("utf8", "marked")), strict=True):

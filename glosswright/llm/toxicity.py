@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, trim, written
+from .common import lean, small_batches, text_bytes, trim, written
 
 SAMPLE, LEVELS = 16_000, 8
 LEAST_DOCS, LEAST_WEIGHT, PREFIXES = 5, 2.0, (4, 5, 6, 7, 8)
@@ -303,6 +303,7 @@ def _counted(texts: DataFrame, key: str, names: list[str], count: Callable) -> D
     """Sums by key over all texts of what count(text, y) yields: (key, numbers)."""
 
     def run(batches):
+        lean()
         sums: dict[str, list[int]] = {}
 
         def flush():
@@ -394,6 +395,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     packed = json.dumps(asdict(model))
 
     def examples(batches):
+        lean()
         g = Grammar(Model(**json.loads(packed)))
         for batch in batches:
             f = g.features(batch.column("text").to_pylist())
@@ -420,6 +422,7 @@ def score_documents(docs: DataFrame, model: Model, cut: float = 0.3, id_column:
     packed = json.dumps(asdict(model))  # bounded by the sample
 
     def run(batches):
+        lean()
         m = Model(**json.loads(packed))
         g = Grammar(m)
         for batch in batches:
@@ -439,6 +442,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.3, text_column:
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lean()
         m = Model(**json.loads(packed))
         g = Grammar(m)
         for texts in parts:

@@ -64,6 +64,22 @@ def test_encoder_is_the_library(path, text):
     assert np.frombuffer(got, "<u4").tolist() == _ids(path, [text])[0]
 
 
+@pytest.mark.parametrize("path", [WORD_FILE, BYTE_FILE])
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\u00a0", "\u2003", "\n", "foo", "Bar's", "é", "“", "”", ",", "42", "²", "中", "\u0301", "don't"]), max_size=9).map("".join), max_size=4))
+def test_encoder_is_the_library_on_wide_spaces_and_marks(path, texts):
+    got = bpe.encoder(path).encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == _ids(path, texts)
+
+
+def test_what_the_encoder_keeps_is_bounded():
+    enc = bpe.TextEncoder(BYTE_FILE)
+    for k in range(4):
+        list(enc.encode([b" ".join(b"%d\xc2\xa0w%d" % (i, k) for i in range(40_000)) + b"\xc2\xa0" * 1000 for _ in range(3)]))
+        assert sum(map(len, enc.new)) <= enc.KEPT + 8 * enc.BLOCK
+    assert len(enc.new) > 1000
+
+
 def test_speculation_and_exact_merging_agree():
     b = bpe.encoder(BYTE_FILE).bpe
     words = [w.encode() for w in "the lower newest international aaaaaaaaaaaa zzz thththth reer".split()]
@@ -318,8 +334,9 @@ def test_repeat_removal_keeps_columns_and_characters(odd):
 
 @pytest.mark.parametrize("cut", [0, 1])
 def test_full_filter_changes_nothing(docs, monkeypatch, cut):
-    full, hot = np.full(1 << repeat_removal.FILTER_BITS - 3, 255, np.uint8), np.full(1 << repeat_removal.HOT_BITS - 3, 255 * cut, np.uint8)
-    monkeypatch.setattr(repeat_removal, "shared_filters", lambda rows, length: (full, hot))
+    full = zlib.compress(b"\xff" * (1 << repeat_removal.FILTER_BITS - 3), 1)
+    hot = np.arange((1 << repeat_removal.HOT_BITS) * cut, dtype="<i4").tobytes()
+    monkeypatch.setattr(repeat_removal, "shared_filters", lambda rows, length: [(0, full, hot)])
     part = docs.where("n_chars < 2000")
     assert Counter(tuple(r) for r in repeat_removal.removal_digests(part, 50).collect()) == _repeats(_pairs(part), 50)
 
