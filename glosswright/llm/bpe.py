@@ -70,7 +70,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges [start, start + length)."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+    kind = np.int32 if total < 1 << 30 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts - (ends - lengths)).astype(kind), lengths)
 
 
 class SpeculativeBPE:
@@ -279,7 +280,7 @@ class TextEncoder:
 
     #: Bytes that a generation of pieces may take before it becomes the old one, with OVERHEAD for each piece.
     KEPT, OVERHEAD = 24 << 20, 150
-    BLOCK = 8 << 20
+    BLOCK = 4 << 20
 
     def __init__(self, path: str):
         self.bpe = SpeculativeBPE(path)
@@ -384,12 +385,16 @@ class TextEncoder:
         out, open_ = [], False
         for p in pieces:
             body = p.lstrip(b" ")
-            left = WIDE_SPACE.match(body) or len(body) < len(p) and body.startswith(b"<|")
-            if out and (open_ or left):
-                out[-1] += p
-            else:
-                out.append(p)
-            open_ = bool(WIDE_SPACE.match(p, max(0, len(p) - 2)) or WIDE_SPACE.match(p, max(0, len(p) - 3)))
+            if open_ and out:
+                p = out.pop() + p
+            elif WIDE_SPACE.match(body) or body.startswith(b"<|"):
+                while out:  # the white space before it and the word before that
+                    last = out.pop()
+                    p = last + p
+                    if last.strip():
+                        break
+            out.append(p)
+            open_ = open_ and not body.strip() or bool(WIDE_SPACE.match(p, max(0, len(p) - 2)) or WIDE_SPACE.match(p, max(0, len(p) - 3)))
         return out
 
     def _pretokens(self, piece: bytes) -> list[bytes | int]:

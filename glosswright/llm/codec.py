@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", decode: bool = True) -> DataFrame:
@@ -27,6 +27,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
             back = [enc.decode(x) for x in ids] if decode else [None] * len(ids)
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.large_binary()).cast(pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
@@ -43,4 +44,5 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, id_column: str = "doc_id
                 b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

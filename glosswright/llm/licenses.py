@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 from .shingles import blocks, mix, shingle_hashes, word_hashes
 
 K, BANDS, ROWS = 5, 24, 2
@@ -116,4 +116,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "license", "n_matches", "first_shingle", "containment"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).mapInArrow(run, "doc_id long, license string, n_matches long, first_shingle long, containment double")

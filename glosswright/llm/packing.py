@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import partitions, text_bytes, written
+from .common import partitions, small_batches, text_bytes, written
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -38,6 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -129,5 +130,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of docs.
+
+    Null and empty texts are a piece with the end id alone; repeated rows and rows with one or no identifier are
+    packed each for itself; pieces of equal length are interchangeable and are dealt by identifier and piece; an
+    empty table has no pieces.  Other columns, whatever their names, take no part.
+    """
     pieces = written(cut_pieces(docs, tokenizer, end_id, capacity, id_column, text_column), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 COUNT_BITS = 24
 
@@ -108,4 +108,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
             got = list(t.counts(batch.column("text").to_pylist()))
             yield pa.record_batch([batch.column("doc_id"), pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

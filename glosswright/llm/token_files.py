@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import partitions, text_bytes
+from .common import partitions, small_batches, text_bytes
 
-BLOCK_SCHEMA = "shard int, block int, n_ids long, doc_ids binary, doc_lengths binary, ids_by_rank binary, control binary, data binary"
+BLOCK_SCHEMA = "shard int, block int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, ids_by_rank binary, control binary, data binary"
 WIDTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
 
@@ -66,9 +66,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             ids = np.frombuffer(b"".join(parts), "<u4")
             known, control, data = pack_ids(ids)
             lengths = np.array([len(p) // 4 for p in parts], "<i8")
-            names = np.array([-(1 << 63) if d is None else d for d in docs_], "<i8")
-            row = [shard, block, len(ids), names.tobytes(), lengths.tobytes(), known, control, data]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            names = np.array([d or 0 for d in docs_], "<i8")
+            nulls = np.array([d is None for d in docs_], np.uint8)
+            row = [shard, block, len(ids), names.tobytes(), nulls.tobytes(), lengths.tobytes(), known, control, data]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
@@ -82,6 +83,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if parts:
             yield flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
@@ -96,11 +98,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = unpack_ids(row["n_ids"], row["ids_by_rank"], row["control"], row["data"]).astype("<u4")
                 lengths = np.frombuffer(row["doc_lengths"], "<i8")
-                names = np.frombuffer(row["doc_ids"], "<i8")
+                names, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_nulls"], np.uint8).astype(bool)
                 end = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(end.tolist(), lengths.tolist(), strict=True)]
                 n = len(lengths)
-                yield pa.record_batch([pa.array(names, mask=names == -(1 << 63)), pa.array(end - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"])
+                yield pa.record_batch([pa.array(names, mask=nulls), pa.array(end - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"])
 
     rows = blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, block int")
     heads = blocks.select("shard", "block", "n_ids")

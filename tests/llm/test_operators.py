@@ -65,7 +65,7 @@ def test_encoder_is_the_library(path, text):
 
 
 @pytest.mark.parametrize("path", [WORD_FILE, BYTE_FILE])
-@settings(max_examples=250, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\u00a0", "\u2003", "\n", "foo", "Bar's", "é", "“", "”", ",", "42", "²", "中", "\u0301", "don't"]), max_size=9).map("".join), max_size=4))
 def test_encoder_is_the_library_on_wide_spaces_and_marks(path, texts):
     got = bpe.encoder(path).encode([t.encode() for t in texts])
@@ -100,6 +100,21 @@ def test_codec(which, request):
     assert Counter(tuple(r) for r in codec.round_trip_digests(df, WORD_FILE).collect()) == want
 
 
+def test_encode_texts(odd):
+    got = {r["doc_id"]: (np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"]).decode()) for r in codec.encode_texts(odd, WORD_FILE).collect()}
+    tok = Tokenizer.from_file(WORD_FILE)
+    want = {i: (ids, tok.decode(ids, skip_special_tokens=False)) for (i, _), ids in zip(_pairs(odd), _ids(WORD_FILE, [t for _, t in _pairs(odd)]), strict=True)}
+    assert got == want
+    assert all(r["decoded"] is None for r in codec.encode_texts(odd, BYTE_FILE, decode=False).collect())
+
+
+def test_token_files_keep_any_identifier(spark, tmp_path):
+    rows = [(-(1 << 63), "a b"), (None, "c"), ((1 << 63) - 1, None), (0, "")]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/t", BYTE_FILE, 0)
+    got = token_files.read_token_files(spark, f"file://{tmp_path}/t").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -(1 << 63), 0, (1 << 63) - 1]
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_packing(which, request):
     df = request.getfixturevalue(which)
