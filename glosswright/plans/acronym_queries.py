@@ -172,6 +172,22 @@ def synthesize_backronym(spark, sf):
     return gen.synthesize(targets.select(F.col("target").alias("id"), "target"), _lexicon(spark, sf), 5)
 
 
+@query(f"WITH {MODEL}, {LEXB}, tg AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS target FROM part), lt AS (SELECT target, i - 1 AS pos, upper(target[i]) AS letter FROM tg, unnest(range(1, length(target) + 1)) AS r(i)), sy AS (SELECT target, turn, pos, word FROM lt, (SELECT unnest(range(0, 5)) AS turn) JOIN bk ON bk.letter = lt.letter AND bk.number = turn % bk.size), ex AS (SELECT target, turn, string_agg(word, ' ' ORDER BY pos) AS expansion, count(*) AS n FROM sy GROUP BY target, turn), fx AS (SELECT target, expansion, min(turn) AS turn, max(n) AS n FROM ex GROUP BY ALL), fi AS (SELECT target, sum(coalesce(log_prob, low)) / (length(target) - 1) AS phi FROM tg CROSS JOIN bo, unnest(range(1, length(target))) AS r(i) LEFT JOIN bg ON prev = lower(target[i]) AND nxt = lower(target[i + 1]) GROUP BY target), sc AS (SELECT fx.*, 10.0 * n - 4.0 * (length(target) - n) + 0.25 * phi + 2.0 * (lower(target) IN (SELECT word FROM lex))::INT - 8.0 * greatest(length(target) - 2, 0) AS score FROM fx JOIN fi USING (target)) SELECT target AS id, upper(target) AS target, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, turn) AS rank, round(score, 5) AS score, expansion, n / length(target) AS coverage FROM sc")
+def score_synthesized(spark, sf):
+    targets = spark.read.parquet(f"{sf}/part.parquet").select(F.split("p_name", " ")[1].alias("target")).distinct().select(F.col("target").alias("id"), "target")
+    m, lex = _model(spark, sf)
+    rows = bk.score_synthesized(gen.synthesize(targets, lex, 5), targets, STRICT, m, lex)
+    return rows.select("id", "target", "rank", F.round("score", 5).alias("score"), "expansion", "coverage")
+
+
+@query(f"WITH {cand_sql(STRICT)} SELECT s.id, s.acronym, round(score, 5) AS score, pos_gain AS \"positional\", loss FROM scored s JOIN ph ON ph.id = s.id WHERE acronym = upper(w[1][1] || w[2][1] || w[3][1])")
+def score_given(spark, sf):
+    m, lex = _model(spark, sf)
+    rows = _phrases(spark, sf).withColumn("target", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "."))
+    rows = bk.score_given(rows.select("id", "target", "words", F.transform("words", lambda w: F.lit(True)).alias("critical")), STRICT, m, lex)
+    return rows.select("id", "acronym", F.round("score", 5).alias("score"), "positional", "loss")
+
+
 @query()
 def align_backronym(spark, sf):
     rows = _phrases(spark, sf).withColumn("target", F.concat(F.substring(F.col("words")[0], 1, 2), F.substring(F.col("words")[2], 1, 1)))
@@ -269,6 +285,13 @@ def disambiguate(spark, sf):
     return dis.disambiguate(instances, entries, stops)
 
 
+@query(f"WITH {MATCHED} SELECT doc_id AS instance, short AS key, long AS expansion, 1.0 AS score, 1 AS rank FROM fo WHERE length(long) > length(short)")
+def disambiguate_by_document(spark, sf):
+    rows = _defined(spark, sf).select(F.col("doc_id").alias("instance"), F.col("short").alias("key"), F.col("text").alias("context"))
+    stops = [w for lang, w, _ in t.stop_rows() if lang == "en"]
+    return dis.from_own_definitions(rows, stops).select("instance", "key", "expansion", "score", "rank")
+
+
 SIM = "CASE WHEN a = b THEN 1.0 WHEN least(length(a), length(b)) >= greatest(4, ceil(least(length(a), length(b)) * 0.6)) AND left(a, greatest(4, ceil(least(length(a), length(b)) * 0.6))::INT) = left(b, greatest(4, ceil(least(length(a), length(b)) * 0.6))::INT) THEN 0.75 ELSE 0.5 * 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END"
 BIG = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
 
