@@ -45,9 +45,19 @@ def phrase_key(c: Column) -> Column:
 
 
 #: Words that look inflected and are not, and state names, exempt or charged as a naming standard does.
-PAST_TENSE_NOUNS = "expedited approved expired defaulted secured ranked sealed shared".split()
-SINGULAR_PLURALS = "address savings securities stats ops alias status process access business class".split()
-STATES = "alabama,alaska,arizona,arkansas,california,colorado,connecticut,delaware,florida,georgia,hawaii,idaho,illinois,indiana,iowa,kansas,kentucky,louisiana,maine,maryland,massachusetts,michigan,minnesota,mississippi,missouri,montana,nebraska,nevada,new hampshire,new jersey,new mexico,new york,north carolina,north dakota,ohio,oklahoma,oregon,pennsylvania,rhode island,south carolina,south dakota,tennessee,texas,utah,vermont,virginia,washington,west virginia,wisconsin,wyoming".split(",")
+PAST_TENSE_NOUNS = [
+    "expedited", "approved", "expired", "defaulted", "secured", "ranked", "sealed", "shared",
+]
+SINGULAR_PLURALS = [
+    "address", "savings", "securities", "stats", "ops", "alias", "status", "process", "access", "business", "class",
+]
+STATES = [
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho",
+    "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi",
+    "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york", "north carolina", "north dakota", "ohio",
+    "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia",
+    "washington", "west virginia", "wisconsin", "wyoming",
+]
 
 
 def canonical_form_score(candidate: Column, token: Column) -> Column:

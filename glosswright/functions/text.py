@@ -58,10 +58,10 @@ SUPPRESSED = ("particle", "determiner", "other")
 
 #: Suffixes and the universal part of speech that each suggests.
 SUFFIX_POS = {
-    "NOUN": "tion sion ment ness ance ence ship ity ism ist er or",
-    "VERB": "ing ate ify ise ize ed",
-    "ADJ": "able ible less ous ive ful al ic",
-    "ADV": "ly",
+    "NOUN": ["tion", "sion", "ment", "ness", "ance", "ence", "ship", "ity", "ism", "ist", "er", "or"],
+    "VERB": ["ing", "ate", "ify", "ise", "ize", "ed"],
+    "ADJ": ["able", "ible", "less", "ous", "ive", "ful", "al", "ic"],
+    "ADV": ["ly"],
 }
 #: Universal part of speech of a function word's category.
 CATEGORY_POS = {"article": "DET", "determiner": "DET", "preposition": "ADP", "conjunction": "CCONJ", "pronoun": "PRON", "auxiliary": "AUX", "particle": "PART", "other": "X"}
@@ -103,7 +103,7 @@ def heuristic_pos(token: Column, category: Column) -> Column:
     for name, tag in CATEGORY_POS.items():
         out = out.when(category == name, tag)
     low = F.lower(token)
-    for suffix, tag in sorted(((s, tag) for tag, group in SUFFIX_POS.items() for s in group.split()), key=lambda x: (-len(x[0]), x[0])):
+    for suffix, tag in sorted(((s, tag) for tag, group in SUFFIX_POS.items() for s in group), key=lambda x: (-len(x[0]), x[0])):
         out = out.when(low.endswith(suffix) & (F.length(token) >= len(suffix) + 2), tag)
     return out.otherwise("NOUN")
 

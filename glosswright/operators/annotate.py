@@ -30,7 +30,7 @@ PENN = {
 PENN_BEGINNINGS = [("NNP", "PROPN"), ("WRB", "ADV"), ("WDT", "DET"), ("PRP", "PRON"), ("NN", "NOUN"), ("VB", "VERB"), ("JJ", "ADJ"), ("RB", "ADV"), ("WP", "PRON")]
 #: Annotations that a token looks ahead when there are no offsets.
 AHEAD = 8
-_SUFFIXES = sorted(((s, tag) for tag, group in SUFFIX_POS.items() for s in group.split()), key=lambda x: (-len(x[0]), x[0]))
+_SUFFIXES = sorted(((s, tag) for tag, group in SUFFIX_POS.items() for s in group), key=lambda x: (-len(x[0]), x[0]))
 
 
 class Annotation(NamedTuple):

@@ -34,7 +34,7 @@ STOPS = "stops AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')"
 TOKS = f"toks AS (SELECT doc_id, lang, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{t.WORD.replace(chr(39), chr(39) * 2)}') AS w FROM documents))"
 ALL_CAPS = "length(token) >= 2 AND regexp_matches(token, '\\p{Lu}') AND NOT regexp_matches(token, '\\p{Ll}')"
 ROLE = f"CASE WHEN regexp_matches(token, '{t.NUMERAL}') THEN 'numeral' WHEN {ALL_CAPS} THEN 'acronym' WHEN category IS NOT NULL THEN 'function' ELSE 'content' END"
-_suffixes = sorted(((s, tag) for tag, g in t.SUFFIX_POS.items() for s in g.split()), key=lambda x: (-len(x[0]), x[0]))
+_suffixes = sorted(((s, tag) for tag, g in t.SUFFIX_POS.items() for s in g), key=lambda x: (-len(x[0]), x[0]))
 POS = (
     f"CASE WHEN regexp_matches(token, '{t.NUMERAL}') THEN 'NUM' WHEN {ALL_CAPS} THEN 'PROPN' "
     + " ".join(f"WHEN category = '{c}' THEN '{p}'" for c, p in t.CATEGORY_POS.items())
