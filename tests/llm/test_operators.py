@@ -495,6 +495,55 @@ def test_licenses(spark, docs):
     assert want <= {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()}
 
 
+def test_licenses_on_odd_rows(spark, odd):
+    text = next(iter(licenses.TEMPLATES.values()))[0]
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, "word " * 20000 + text), (5, text[: len(text) // 3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(1).alias(c) for c in ("license", "containment", "window")))
+    got = Counter(r["doc_id"] for r in licenses.scan_licenses(df).collect() if r["containment"] == 1.0)
+    assert got[1] == 2 * got[2 + 2] and got[None] == got[4] >= 1 and 2 not in got and 3 not in got
+    assert licenses.scan_licenses(odd).count() >= 1
+
+
+def test_token_counts_of_long_texts(spark):
+    rows = [(k, " ".join(f"Wörd{i * k % 97}x{i % 13}" for i in range(4000))) for k in range(1, 4)] + [(9, "y" * 50000), (None, "a a"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("n_words"), F.lit(2).alias("score"))
+    got = Counter(tuple(r) for r in token_counts.count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    one = token_counts.ForwardTrie(*token_counts.piece_costs(public_tokenizers.path("piece_bpe_32k.model")))
+    want = Counter()
+    for i, t in rows:
+        words = (t or "").encode().split()
+        want[(i, len(words), sum(next(one.counts([w]))[1] for w in words))] += 1
+    assert got == want
+
+
+def test_near_duplicate_vectors_odd_rows(spark):
+    v = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+    rows = [(1, v, 1), (1, v, 1), (2, [2 * x for x in v], 1), (3, v, 2), (None, v, 1), (4, None, 1), (5, v, None), (6, [*v[:7], float("nan")], 1), (7, [], 1), (8, [0.0] * 8, 1), (9, v[:7], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *(F.lit(0).alias(c) for c in ("v", "cid", "n", "cell", "part", "side", "links")))
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in embedding_dedup.near_duplicate_vectors(df).collect())
+    assert got == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
+
+
+def test_near_duplicate_vectors_of_the_table(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    rows = [(r["vec_id"], r["label"], r["embedding"]) for r in spark.read.parquet(path).collect()]
+    wide = spark.read.parquet(path)
+    near = wide.where("vec_id % 50 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: x + F.lit(0.01).cast("float")).alias("embedding"), "label")
+    rows += [(r["vec_id"], r["label"], r["embedding"]) for r in near.collect()]
+    unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, _, v in rows if v is not None and np.linalg.norm(np.array(v, float))}
+    links = Counter()
+    for label in {y for _, y, _ in rows if y is not None}:
+        ids = np.array([i for i, y, _ in rows if y == label and i in unit])
+        if len(ids):
+            m = np.stack([unit[i] for i in ids])
+            for a, b in zip(*np.nonzero(np.triu(m @ m.T >= 0.93, 1)), strict=True):
+                links[int(ids[a])] += 1
+                links[int(ids[b])] += 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(wide.select("vec_id", "embedding", "label").unionByName(near)).collect()}
+    assert len(got) == len(rows) and sum(links.values()) > 0
+    assert all(n <= links[i] for i, n in got.items()) and sum(got.values()) >= 0.99 * sum(links.values())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

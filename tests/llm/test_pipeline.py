@@ -8,7 +8,7 @@ import pytest
 from glosswright.llm import toxicity
 from glosswright.llm.common import written
 
-from .test_operators import WORD_FILE, _crc, _ids, _jaccard
+from .test_operators import WORD_FILE, _crc, _ids, _jaccard, odd  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +71,12 @@ def test_packing_and_run(spark, stages):
             want[(i, k, at, len(ids[at : at + 4096]), _crc(ids[at : at + 4096]))] += 1
     for df in (stages[5], corpus_pipeline.run(spark, DATA)):
         assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect()) == want
+
+
+def test_stages_on_odd_and_no_rows(spark, odd):  # noqa: F811
+    for df in (odd, odd.where("false")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, DATA)
+            rows = out.collect()
+            assert k + 1 == len(corpus_pipeline.STAGES) or out.columns == df.columns
+            assert bool(rows) == bool(df.count())
