@@ -207,7 +207,7 @@ def _defined(spark, sf, *keep):
     """(doc_id, long, short, text, …): the words of whole documents with one definition each."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     rows = _docs(spark, sf).select("doc_id", words.alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), *keep)
-    rows = rows.where(F.size("w") >= F.col("k")).withColumn("a", ((F.col("doc_id") * 7919) % (F.size("w") - F.col("k") + 1)).cast("int"))
+    rows = rows.where(F.size("w") >= F.col("k")).withColumn("a", ((F.col("doc_id") * 7919) % F.greatest(F.size("w") - F.col("k") + 1, F.lit(1))).cast("int"))
     chosen = F.slice("w", F.col("a") + 1, F.col("k"))
     short = F.upper(F.array_join(F.transform(chosen, lambda x: F.substring(x, 1, 1)), ""))
     head, rest = F.slice("w", F.lit(1), F.col("a") + F.col("k")), F.slice("w", F.col("a") + F.col("k") + 1, F.size("w"))
