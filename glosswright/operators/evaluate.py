@@ -111,11 +111,10 @@ def deduplicated(predictions: DataFrame) -> DataFrame:
 def candidate_space(docs: DataFrame, most: int = 14) -> DataFrame:
     """(doc_id, short, long): every start of a long form in the `most` words before a bracketed short form, folded."""
     from .extract import Limits, is_valid_short_form
+    from .reliability import bracketed
 
-    hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^()]*\([^()]{1,30}\)"), F.lit(0))).alias("i", "h"))
-    short = F.trim(F.regexp_extract("h", r"\(([^()]{1,30})\)$", 1))
-    before = F.regexp_extract("h", r"^([^()]*)\(", 1)
-    rows = hits.select("doc_id", short.alias("short"), before.alias("before")).where(is_valid_short_form(F.col("short"), Limits(1, 14, False)))
+    hits = docs.select("doc_id", F.explode(bracketed(F.col("text"))).alias("h"))
+    rows = hits.select("doc_id", "h.short", "h.before").where(is_valid_short_form(F.col("short"), Limits(1, 14, False)))
     starts = F.regexp_extract_all("before", F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))  # each word with what follows it
     rows = rows.select("doc_id", "short", F.slice(starts, F.greatest(F.size(starts) - most + 1, F.lit(1)), most).alias("w")).where(F.size("w") > 0)
     spans = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.array_join(F.slice("w", k, F.size("w")), ""))
@@ -160,10 +159,16 @@ def accuracy_by_candidates(predicted: DataFrame, entries: DataFrame) -> DataFram
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """array<struct(begin, stop)> of all places of a needle in a text, overlapping ones as well."""
+    """array<struct(begin, stop)> of all places of a needle in a text, overlapping ones as well.
+
+    The text is cut before each of them, so the work is that of one scan.
+    """
     n = F.length(needle)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n) == needle)
-    return F.when(n > 0, F.transform(at, lambda i: F.struct((i - 1).alias("begin"), (i - 1 + n).alias("stop")))).otherwise(F.array().cast("array<struct<begin:int,stop:int>>"))
+    pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), needle, F.lit(r"\E)")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    begins = F.aggregate(pieces, none, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["begins"], F.array(s["at"])).alias("begins")))["begins"]
+    found = F.filter(begins, lambda b: F.substr(text, b + 1, n) == needle)
+    return F.when(n > 0, F.transform(found, lambda b: F.struct(b.alias("begin"), (b + n).alias("stop")))).otherwise(F.array().cast("array<struct<begin:int,stop:int>>"))
 
 
 def located(rows: DataFrame) -> DataFrame:

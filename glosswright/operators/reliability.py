@@ -65,13 +65,24 @@ def group_of(short: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.least(F.length(short), F.lit(5)).cast("string"))
 
 
+def bracketed(text: Column, most: int = 30) -> Column:
+    """array<struct(short, before)>: what stands in each pair of round brackets without others in it, up to `most`
+    characters, and the text before it back to another bracket.  Linear in the text: it is cut at the brackets."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"\(")
+
+    def one(part: Column, i: Column) -> Column:
+        short = F.regexp_extract(part, rf"^([^()]{{1,{most}}})\)", 1)
+        return F.when((i > 0) & (short != ""), F.struct(F.trim(short).alias("short"), F.substring_index(F.get(parts, i - 1), ")", -1).alias("before")))
+
+    return F.filter(F.transform(parts, one), lambda x: x.isNotNull())
+
+
 def harvest(docs: DataFrame, most: int = 12) -> DataFrame:
     """(doc_id, ord, short, words): bracketed short texts and the words before them."""
-    hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^()]*\([^()]{1,30}\)"), F.lit(0))).alias("ord", "h"))
-    short = F.trim(F.regexp_extract("h", r"\(([^()]{1,30})\)$", 1))
-    words = F.regexp_extract_all(F.regexp_extract("h", r"^([^()]*)\(", 1), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    hits = docs.select("doc_id", F.posexplode(bracketed(F.col("text"))).alias("ord", "h"))
+    words = F.regexp_extract_all("h.before", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     last = F.slice(words, F.greatest(F.size(words) - most + 1, F.lit(1)), most)
-    return hits.select("doc_id", "ord", short.alias("short"), last.alias("words")).where(F.size("words") > 0)
+    return hits.select("doc_id", "ord", F.col("h.short").alias("short"), last.alias("words")).where(F.size("words") > 0)
 
 
 def strategy_hits(rows: DataFrame) -> DataFrame:

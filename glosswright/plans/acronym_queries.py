@@ -206,13 +206,17 @@ fo AS (SELECT doc_id, short, reverse(rtrim(regexp_extract(back, '^.*?' || array_
 def _defined(spark, sf, *keep):
     """(doc_id, long, short, text, …): the words of whole documents with one definition each."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    rows = _docs(spark, sf).select("doc_id", words.alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), *keep)
+    # an exploded array of one: the words are worked out once and not in each expression that uses them
+    rows = _docs(spark, sf).select("doc_id", F.explode(F.array(words)).alias("w"), (3 + F.col("doc_id") % 2).cast("int").alias("k"), *keep)
     rows = rows.where(F.size("w") >= F.col("k")).withColumn("a", ((F.col("doc_id") * 7919) % F.greatest(F.size("w") - F.col("k") + 1, F.lit(1))).cast("int"))
     chosen = F.slice("w", F.col("a") + 1, F.col("k"))
     short = F.upper(F.array_join(F.transform(chosen, lambda x: F.substring(x, 1, 1)), ""))
     head, rest = F.slice("w", F.lit(1), F.col("a") + F.col("k")), F.slice("w", F.col("a") + F.col("k") + 1, F.size("w"))
-    text = F.concat(F.array_join(head, " "), F.lit(" ("), short, F.lit(") "), F.array_join(rest, " "))
-    return rows.select("doc_id", F.array_join(chosen, " ").alias("long"), short.alias("short"), text.alias("text"), *(c for c in rows.columns if c not in ("doc_id", "w", "k", "a")))
+    made = F.struct(F.array_join(chosen, " ").alias("long"), short.alias("short"), F.array_join(head, " ").alias("head"), F.array_join(rest, " ").alias("rest"))
+    others = [c for c in rows.columns if c not in ("doc_id", "w", "k", "a")]
+    rows = rows.select("doc_id", *others, F.explode(F.array(made)).alias("m"))
+    text = F.concat("m.head", F.lit(" ("), "m.short", F.lit(") "), "m.rest")
+    return rows.select("doc_id", "m.long", "m.short", text.alias("text"), *others)
 
 
 @query(f"WITH {MATCHED} SELECT doc_id, short, long FROM fo WHERE length(long) > length(short)")
