@@ -35,13 +35,14 @@ from .run_index import RunIndex
 from .shingles import BASE, INVERSE, VALUES, blocks, mix, powers
 
 K = 24
-FILTER_BITS, HOT_BITS = 28, 24
-#: Segments from which a minimiser is hot; a flush tells how many it has from HEAVY on, otherwise it counts as one.
-HOT, HEAVY = 2_048, 8
-#: Bytes of segments that a task holds before it sends them, and that a range indexes at a time.
-HELD, CHUNK = 6 << 20, 1 << 20
-#: Ranges that a task of the second shuffle solves, one after the other.
-SPLIT = 6
+FILTER_BITS, HOT_BITS = 29, 24
+#: Segments from which a minimiser is hot, about a CHUNK of bytes: cut into windows, they have some ten times as many.
+#: A flush tells how many it has from HEAVY on, otherwise it counts as one.
+HOT, HEAVY = 16_384, 8
+#: Bytes of segments that a task holds before it sends them, gathers at a time, and that a range indexes at a time.
+HELD, GATHER, CHUNK = 12 << 20, 1 << 19, 1 << 20
+#: Ranges that a task of the second shuffle solves, one after the other.  A flush makes a blob for each range.
+SPLIT = 4
 _U = np.uint64
 
 
@@ -246,7 +247,7 @@ def shared_filters(rows: DataFrame, length: int) -> list[tuple[int, bytes, bytes
             yield flush()
         trim()
 
-    found = posted.mapInArrow(meet, "low long, bits binary, hot binary").collect()  # 34 MB in all, whatever the input
+    found = posted.mapInArrow(meet, "low long, bits binary, hot binary").collect()  # 68 MB in all, whatever the input
     return [(r["low"], bytes(r["bits"]), bytes(r["hot"])) for r in found]
 
 
@@ -265,6 +266,31 @@ MARKS = ["doc_id", "th", "start", "stop"]
 PLANES = ["<i8", "<i8", "<i4", "<u4", "<u4"]
 
 
+def packed(doc, th, place, size, group, data, begin, first):
+    """The blobs of segments whose runs begin at `first`, not yet compressed.
+
+    There are as many as flushes times ranges, which grows faster than the text: all but the joining is done for
+    all of them at once.
+    """
+    step = np.diff(doc, prepend=np.int64(0))
+    step[first] = doc[first]
+    planes = [x.astype(t).tobytes() for x, t in zip((step, th, place, size, group), PLANES, strict=True)]
+    planes.append(b"".join(data[spread(begin[lo:hi], size[lo:hi])].tobytes() for lo, hi in slices(size, GATHER)))
+    cuts = np.append(first, len(doc))
+    cuts = [(cuts * np.dtype(t).itemsize).tolist() for t in PLANES] + [np.append(0, np.cumsum(size))[cuts].tolist()]
+    for k in range(len(first)):
+        yield b"".join([p[c[k] : c[k + 1]] for p, c in zip(planes, cuts, strict=True)])
+
+
+def unpacked(raw: bytes, n: int) -> tuple[np.ndarray, ...]:
+    """Document, hash of its text, place, size and group of the n segments of a blob, and their bytes."""
+    planes, at = [], 0
+    for t in PLANES:
+        planes.append(np.frombuffer(raw, t, n, at))
+        at += n * planes[-1].itemsize
+    return np.cumsum(planes[0]), *planes[1:], np.frombuffer(raw, np.uint8, offset=at)
+
+
 def _mark_batch(r, marks, names):
     blobs = [pa.nulls(len(marks[0]), t) for t in (pa.int32(), pa.binary())]
     return pa.record_batch([pa.array(r, pa.int32()), *blobs, *(pa.array(x, pa.int64()) for x in marks)], names)
@@ -273,7 +299,7 @@ def _mark_batch(r, marks, names):
 def segments(rows: DataFrame, length: int, filters) -> DataFrame:
     """Rows (r, n, blob) of segments for the ranges, and rows (r, marks) of what is known at once.
 
-    filters: a broadcast of shared_filters(), at most 34 MB whatever the input.
+    filters: a broadcast of shared_filters(), at most 68 MB whatever the input.
     """
     ranges = SPLIT * partitions(rows.sparkSession)
     names = ["r", "n", "blob", *MARKS]
@@ -294,19 +320,15 @@ def segments(rows: DataFrame, length: int, filters) -> DataFrame:
             if len(known):  # neighbouring segments overlap: whole stretches become one mark
                 marks = stretches(doc[known], th[known], place[known], place[known] + n[known])
                 yield _mark_batch((marks[0] % ranges).astype(np.int32), marks, names)
-            r = ((route[send] >> _U(24)).astype(np.int64) * ranges) >> 40
-            send = send[np.argsort(r, kind="stable")]
-            bounds = np.searchsorted(np.sort(r), np.arange(ranges + 1))
-            blobs = []
-            for x, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if b > a:
-                    s = send[a:b]
-                    planes = [np.diff(doc[s], prepend=np.int64(0)), th[s], place[s], n[s], route[s] >> _U(32)]
-                    raw = [p.astype(t).tobytes() for p, t in zip(planes, PLANES, strict=True)]
-                    blobs.append((x, b - a, pack.compress(b"".join([*raw, content[spread(begin[s], n[s])].tobytes()]))))
-            if blobs:
-                kinds = [pa.int32(), pa.int32(), pa.binary()]
-                yield pa.record_batch([*(pa.array(c, t) for c, t in zip(zip(*blobs, strict=True), kinds, strict=True)), *(pa.nulls(len(blobs), pa.int64()) for _ in MARKS)], names)
+            if len(send):
+                r = ((route[send] >> _U(24)).astype(np.int64) * ranges) >> 40
+                by = np.argsort(r, kind="stable")
+                r, send = r[by], send[by]
+                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                many = np.diff(np.append(first, len(send)))
+                raw = packed(doc[send], th[send], place[send], n[send], route[send] >> _U(32), content, begin[send], first)
+                blobs = pa.array(map(pack.compress, raw), pa.binary())
+                yield pa.record_batch([pa.array(r[first], pa.int32()), pa.array(many, pa.int32()), blobs, *(pa.nulls(len(first), pa.int64()) for _ in MARKS)], names)
 
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("th").to_numpy()
@@ -324,7 +346,7 @@ def segments(rows: DataFrame, length: int, filters) -> DataFrame:
                         start, doc = spread(start, n), np.repeat(doc, n)
                         stop = start + length
                     key = range_hash(w.sums, start, stop)
-                    for lo, hi in slices(stop - start, HELD):
+                    for lo, hi in slices(stop - start, 8 * GATHER):
                         a, b, d = start[lo:hi], stop[lo:hi], doc[lo:hi]
                         route = key[lo:hi] if single else w.minimiser[s[lo:hi]]
                         held.append((ids[i + d], hashes[i + d], a - w.begin[d], b - a, route, key[lo:hi], w.data[spread(a, b - a)]))
@@ -361,8 +383,9 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
 
 def solve(parts: list[tuple], length: int) -> list[np.ndarray]:
     """The marks (document, hash of its text, first byte, end) of the segments of a range."""
-    doc, th, place, size, group, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    *planes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
+    doc, th, place, size, group = (x.astype(np.int64) for x in planes)
     begin = np.cumsum(size) - size
     order, owner = equal_segments(data, begin, size, segment_hashes(data, begin, size), doc, place)
     later = doc[order] != doc[owner]
@@ -401,16 +424,12 @@ def marks(blobs: DataFrame, length: int) -> DataFrame:
             if len(done):
                 yield done.select(MARKS)
             rest = batch.filter(pc.is_null(batch.column("start")))
-            for r, n, blob in zip(*(rest.column(c) for c in ("r", "n", "blob")), strict=True):
-                if r.as_py() != now:
+            for r, n, blob in zip(*(rest.column(c).to_pylist() for c in ("r", "n", "blob")), strict=True):
+                if r != now:
                     if parts:
                         yield pa.record_batch([pa.array(x, pa.int64()) for x in solve(parts, length)], MARKS)
-                    now = r.as_py()
-                raw, at, planes = unpack.decompress(blob.as_py()), 0, []
-                for t in PLANES:
-                    planes.append(np.frombuffer(raw, t, n.as_py(), at).astype(np.int64))
-                    at += n.as_py() * np.dtype(t).itemsize
-                parts.append((np.cumsum(planes[0]), *planes[1:], np.frombuffer(raw, np.uint8, offset=at)))
+                    now = r
+                parts.append(unpacked(unpack.decompress(blob), n))
         if parts:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in solve(parts, length)], MARKS)
         trim()

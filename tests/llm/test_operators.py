@@ -331,6 +331,31 @@ def test_run_index_finds_the_first_place(pieces, context):
             assert got[p] == text.index(window)
 
 
+def test_repeat_removal_cuts_only_minimisers_that_would_fill_a_chunk(spark):
+    """3,000 different segments around one passage are some 200 KB; as single windows they were ten times as many."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda n: "".join(letters[rng.integers(0, 26, n)])
+    rows = [(i, hash(i), (word(40) + " all of these are in one long row " + word(40)).encode()) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, th long, text binary").coalesce(1)
+    filters = spark.sparkContext.broadcast(repeat_removal.shared_filters(docs, 50))
+    sent = repeat_removal.segments(docs, 50, filters).agg(F.sum("n")).first()[0]
+    assert 3_000 <= sent < 9_000
+
+
+def test_segments_in_blobs():
+    rng = np.random.default_rng(3)
+    size = rng.integers(50, 70, 40)
+    data, begin = rng.integers(0, 256, int(size.sum())).astype(np.uint8), np.cumsum(size) - size
+    doc, th, place, group = (rng.integers(0, 1 << b, 40) for b in (40, 60, 30, 32))
+    order, first = rng.permutation(40), np.array([0, 7, 8, 30])
+    raw = list(repeat_removal.packed(doc[order], th[order], place[order], size[order], group[order], data, begin[order], first))
+    for blob, s in zip(raw, np.split(order, first[1:]), strict=True):
+        *planes, content = repeat_removal.unpacked(blob, len(s))
+        assert [p.tolist() for p in planes] == [x[s].tolist() for x in (doc, th, place, size, group)]
+        assert content.tobytes() == b"".join(data[a : a + n].tobytes() for a, n in zip(begin[s], size[s], strict=True))
+
+
 def test_repeat_removal_any_column_names(spark):
     names = ["_th", "_utf8", "_id", "row", "utf8", "marked", "th", "start", "text_utf8"]
     base = spark.createDataFrame([(1, PASSAGE), (2, "x" + PASSAGE), (3, None)], "doc_id long, text string")
