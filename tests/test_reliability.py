@@ -1,5 +1,7 @@
 """Strategy hits, the cascade and the re-ranking against loops over the collected rows."""
 
+import random
+
 import pytest
 
 from glosswright.operators import reliability as rel
@@ -69,3 +71,22 @@ def test_reranked(spark, rows, minimum):
         if best[0] > 0 and best[0] >= minimum:
             want[r["doc_id"], r["ord"]] = (best[1], best[0])
     assert {(r["doc_id"], r["ord"]): (r["long"], r["score"]) for r in rel.reranked(rows, table, minimum).collect()} == want
+
+
+def test_latest_starts_of_all_strategies():
+    rng = random.Random(5)
+    stop = sorted(rel.STOPS)
+    for _ in range(4_000):
+        words = [rng.choice(stop) if rng.random() < 0.3 else "".join(rng.choices("abcsS", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 7))]
+        short = "".join(rng.choices("abcsSt ", k=rng.randint(0, 5)))
+        want = {s[0]: k for s in rel.STRATEGIES if (k := rel.best_start(short, words, s)) is not None}
+        assert rel.latest_starts(short, words) == want, (short, words)
+
+
+def test_reranking_tries_each_bracket_once(spark, rows, monkeypatch):
+    """Every span before a bracket went through the kernel, some six times the work of the longest one."""
+    table, _ = _table(spark)
+    tried, starts = [], rel.strategy_starts
+    monkeypatch.setattr(rel, "strategy_starts", lambda r: (tried.append(r.count()), starts(r))[1])
+    rel.reranked(rows, table).collect()
+    assert tried == [rows.count()]
