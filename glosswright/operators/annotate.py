@@ -111,16 +111,17 @@ def align_by_offsets(tokens: DataFrame, notes: DataFrame) -> DataFrame:
     """tokens (id, index, start, stop, …) with pos and lemma of notes (id, start, stop, pos, lemma) that overlap them.
 
     A note of the same span comes first, else the last one with a content tag, else the first one.  The join is on
-    the text's id, then by overlap; tokens without a note keep nulls.
+    the text's id, then by overlap; tokens without a note keep nulls.  Both joins are told to merge: Spark takes rows
+    of exploded arrays for as small as the texts' files and would gather them in the driver to broadcast them.
     """
     n = notes.where("start is not null and stop is not null").select("id", F.col("start").alias("a"), F.col("stop").alias("b"), "pos", "lemma")
-    met = tokens.select("id", "index", "start", "stop").join(n, "id").where((F.col("a") < F.col("stop")) & (F.col("b") > F.col("start")))
+    met = tokens.select("id", "index", "start", "stop").join(n.hint("merge"), "id").where((F.col("a") < F.col("stop")) & (F.col("b") > F.col("start")))
     same = (F.col("a") == F.col("start")) & (F.col("b") == F.col("stop"))
     head = F.upper(F.coalesce("pos", F.lit(""))).isin(sorted(CONTENT_POS))
     every = Window.partitionBy("id", "index")
     order = F.when(same, F.struct(F.lit(0).alias("k"), F.col("a").alias("x"), F.col("b").alias("y"))).when(head & (F.count("*").over(every) > 1), F.struct(F.lit(1).alias("k"), (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).otherwise(F.struct(F.lit(2).alias("k"), F.col("a").alias("x"), F.col("b").alias("y")))
     best = met.withColumn("o", order).groupBy("id", "index").agg(F.min_by(F.struct("pos", "lemma"), "o").alias("n"))
-    return tokens.drop("pos", "lemma").join(best, ["id", "index"], "left").withColumns({"pos": F.col("n.pos"), "lemma": F.col("n.lemma")}).drop("n")
+    return tokens.drop("pos", "lemma").join(best.hint("merge"), ["id", "index"], "left").withColumns({"pos": F.col("n.pos"), "lemma": F.col("n.lemma")}).drop("n")
 
 
 def with_roles(tokens: DataFrame) -> DataFrame:

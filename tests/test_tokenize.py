@@ -3,9 +3,11 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glosswright.operators import annotate as an
 from glosswright.operators import tokenize as tk
+from glosswright.operators.vocabulary import literal
 
 
 def _texts(text, **rules):
@@ -86,3 +88,16 @@ def test_a_passed_backend(spark):
     rows = tk.tokenize(spark.createDataFrame([(1, "Text of NASA"), (2, None)], "id long, text string"))
     got = [(r["text"], r["role"], r["pos"], r["lemma"]) for r in an.annotate(rows, Words()).orderBy("index").collect()]
     assert got == [("Text", "content", None, "text"), ("of", "content", "VERB", "of"), ("NASA", "acronym", None, "nasa")]
+
+
+def test_aligned_tokens_are_not_broadcast(spark):
+    """The estimate of exploded tokens is that of their texts: below the threshold, whatever they really take."""
+    rows = tk.token_rows(tk.tokenize(literal(spark, [(1, "a bc"), (2, "def")], "id long, text string")))
+    notes = rows.select("id", "start", "stop", F.lit("NOUN").alias("pos"), F.lit("x").alias("lemma"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = an.align_by_offsets(rows, notes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
