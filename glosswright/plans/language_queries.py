@@ -119,7 +119,8 @@ def annotated_roles(spark, sf):
 
 @query(f"""WITH {PIECES} SELECT id, "index", CASE WHEN length(text) = 1 THEN 'NOUN' WHEN "index" % 2 = 0 THEN 'ADJ' ELSE 'ADP' END AS pos FROM rl""")
 def aligned_annotations(spark, sf):
-    rows = _phrase_tokens(spark, sf)
+    # part is small in its file and large in tokens: as one partition it would be one task
+    rows = tk.token_rows(tk.tokenize(_phrase_texts(spark, sf).repartition("id")))
     mid = F.col("start") + F.floor(F.length("text") / 2).cast("int")
     one = F.length("text") == 1
     first = rows.select("id", F.col("start"), F.when(one, F.col("stop")).otherwise(mid).alias("stop"), F.when(one, "NOUN").otherwise("ADP").alias("pos"), F.lit(None).cast("string").alias("lemma"))
